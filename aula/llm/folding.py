@@ -76,3 +76,17 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
         for i in range(k):
             out = out * _P + words[i : i + n]
     return mix(out)
+
+
+def string_hashes(strings: list[str]) -> np.ndarray:
+    """64-bit hashes of whole strings."""
+    if not strings:
+        return np.empty(0, np.uint64)
+    points = np.frombuffer(SEPARATOR.join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.full(len(points) + 1, _P))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)])])
+        back = np.cumprod(np.full(len(points) + 1, _inverse()))
+        return mix((sums[first + lengths] - sums[first]) * back[first])
