@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from aula.functions.text import count_words, embed_text, strip, unique_in_order
 from aula.operators.cells import asof_backward
+from aula.session import cut_lineage
 
 SLIDE_TEXTS = ("clean_text", "cleaned_text", "slide_text", "none")
 
@@ -143,9 +144,12 @@ def blank_slides(numbered: DataFrame, folded: DataFrame, objects: DataFrame) ->
 
 
 def build_chunks(aligned: DataFrame, objects: DataFrame, rules: ChunkRules = ChunkRules(), course_id: str = "course") -> DataFrame:
-    """All chunks of all lectures, with links to their neighbours. Lectures without slides or speech have none."""
-    numbered = pieces(aligned, objects)
-    folded = fold(numbered, rules)
+    """All chunks of all lectures, with links to their neighbours. Lectures without slides or speech have none.
+
+    Numbered pieces and the fold are written once, as each is read several times below.
+    """
+    numbered = cut_lineage(pieces(aligned, objects), "pieces")
+    folded = cut_lineage(fold(numbered, rules), "fold")
     parts = members(folded).join(numbered, ["lecture_id", "seq"])
     spoken = parts.groupBy("lecture_id", "bucket").agg(
         F.array_sort(F.collect_list(F.struct("seq", "start_timestamp", "end_timestamp", "text"))).alias("p"),
@@ -169,7 +173,7 @@ def build_chunks(aligned: DataFrame, objects: DataFrame, rules: ChunkRules = Chu
         *[F.coalesce(lines(c), F.lit("")).alias(c) for c in ("slide_text", "cleaned_text", "clean_text", "slide_description")],
     )
     source = F.lit("") if rules.slide_text == "none" else F.col(rules.slide_text)
-    full = full.withColumn("embed_text", embed_text(source, F.col("slide_description"), F.col("text"), with_description=rules.with_description))
+    full = cut_lineage(full.withColumn("embed_text", embed_text(source, F.col("slide_description"), F.col("text"), with_description=rules.with_description)), "chunks")
     return link(full)
 
 

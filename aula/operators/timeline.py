@@ -40,8 +40,8 @@ def knowledge_objects(keyframes: DataFrame, aligned: DataFrame) -> DataFrame:
 def slide_changes(objects: DataFrame) -> DataFrame:
     """Objects with ``is_change``: this slide and the one before both have a title, and the titles differ."""
     own = F.lower(strip(F.coalesce("title", F.lit(""))))
-    before = with_last(objects.withColumn("_own", F.lower(strip(F.coalesce("title", F.lit(""))))), "lecture_id", ["start_timestamp", "object_id"], own, "_prev", strict=True)
-    return before.withColumn("is_change", F.coalesce((F.col("_own") != "") & (F.col("_prev") != "") & (F.col("_own") != F.col("_prev")), F.lit(False))).drop("_own", "_prev")
+    before = with_last(objects.withColumn("_title", F.lower(strip(F.coalesce("title", F.lit(""))))), "lecture_id", ["start_timestamp", "object_id"], own, "_prev", strict=True)
+    return before.withColumn("is_change", F.coalesce((F.col("_title") != "") & (F.col("_prev") != "") & (F.col("_title") != F.col("_prev")), F.lit(False))).drop("_title", "_prev")
 
 
 def shown_at(moments: DataFrame, objects: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from aula.operators.chunking import ChunkRules, build_chunks, fold, pieces, titl
 from aula.operators.keyframes import select_keyframes
 from aula.operators.ocr_clean import average_confidence, candidates, clean, counters, split_reply
 from aula.operators.timeline import align, knowledge_objects, shown_at, slide_changes, speech_around
+from aula.session import cut_lineage
 from aula.sources.tables import read_records, read_table
 
 AWARE = ChunkRules(slide_aware=True)
@@ -31,7 +32,13 @@ def aligned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, d: str) -> DataFrame:
-    return knowledge_objects(keyframes(spark, d), aligned(spark, d))
+    return knowledge_objects(keyframes(spark, d), cut_lineage(aligned(spark, d), "aligned"))
+
+
+def stages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Aligned speech and knowledge objects, each written once, as the stages of the pipeline are."""
+    speech = cut_lineage(aligned(spark, d), "aligned")
+    return speech, cut_lineage(knowledge_objects(keyframes(spark, d), speech), "objects")
 
 
 def moments(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +77,7 @@ def moment_speech(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fold(spark: SparkSession, d: str, rules: ChunkRules) -> DataFrame:
-    numbered = pieces(aligned(spark, d), objects(spark, d))
+    numbered = cut_lineage(pieces(*stages(spark, d)), "pieces")
     return fold(numbered, rules).join(numbered.select("lecture_id", "seq", "segment_id"), ["lecture_id", "seq"]).select("segment_id", "lecture_id", F.col("bucket").cast("int").alias("bucket"))
 
 
@@ -83,7 +90,7 @@ def chunk_fold_slide_aware(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
-    chunks = build_chunks(aligned(spark, d), objects(spark, d))
+    chunks = build_chunks(*stages(spark, d))
     return chunks.select(
         "chunk_id", "lecture_id", "start_timestamp", "end_timestamp", F.md5("text").alias("text_md5"), F.md5("embed_text").alias("embed_md5"), F.md5("slide_text").alias("slide_md5"),
         F.size("slide_timestamps").alias("n_slides"), F.array_join(F.col("slide_timestamps").cast("array<decimal(18,3)>").cast("array<string>"), ",").alias("slides"),
@@ -91,7 +98,7 @@ def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_links(spark: SparkSession, d: str) -> DataFrame:
-    return build_chunks(aligned(spark, d), objects(spark, d)).select("chunk_id", "prev_chunk_id", "next_chunk_id")
+    return build_chunks(*stages(spark, d)).select("chunk_id", "prev_chunk_id", "next_chunk_id")
 
 
 def unique_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +295,7 @@ SQL = {
     "df_candidates_capped": f"WITH {_OCR} SELECT lecture_id, word, n_frames FROM dfw JOIN tot USING (lecture_id) WHERE n_frames >= greatest(2, n * 0.05) QUALIFY row_number() OVER (PARTITION BY lecture_id ORDER BY n_frames DESC, word) <= 10",
     "junk_terms": f"""WITH {_OCR} SELECT lecture_id, coalesce(string_agg(CASE WHEN m.i IS NOT NULL THEN cand.word END, ' ' ORDER BY m.i), '') AS interface_words,
   coalesce(string_agg(CASE WHEN m.i IS NULL THEN cand.word END, ' ' ORDER BY cand.word), '') AS kept_as_content FROM cand LEFT JOIN menu m ON cand.word = m.word GROUP BY lecture_id""",
-    "ocr_clean": f"WITH {_OCR} SELECT frame_id, cleaned_text, CAST(before AS INTEGER) AS before, CAST(after AS INTEGER) AS after FROM cleaned",
+    "ocr_clean": f"WITH {_OCR} SELECT frame_id, cleaned_text, CAST(before AS INTEGER) AS before, CAST(coalesce(after, 0) AS INTEGER) AS after FROM cleaned",
     "ocr_counters": f"""WITH {_OCR} SELECT lecture_id, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('before', 'after', 'dropped_symbol', 'dropped_interface', 'dropped_low_confidence', 'without_confidences'))}
   FROM cleaned GROUP BY lecture_id""",
     "ocr_confidence": f"WITH {BASE} SELECT frame_id, round(list_avg(list_filter(word_confidences, lambda x: x >= 0)), 6) AS average FROM kf",
