@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from aula.plans import interval_queries, lecture_queries
+from aula.plans import interval_queries, lecture_queries, search_queries
 
-MODULES = (interval_queries, lecture_queries)
+MODULES = (interval_queries, lecture_queries, search_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
