@@ -23,6 +23,7 @@ def build_session(app: str = "aula", master: str = "local[8]", shuffle_partition
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.autoBroadcastJoinThreshold", "10m")
         .getOrCreate()
     )
 

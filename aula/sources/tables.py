@@ -23,7 +23,7 @@ def read_records(spark: SparkSession, directory: str, name: str, *columns: str)
     """One row per record: redelivered rows removed by key. Only ``columns`` are read where they are given.
 
     A redelivered row equals the first one in all but ``ingested_at``, which therefore is left out.
-    Rows without a key are all kept, as nothing tells them apart.
+    Rows whose key is NULL count as one record.
     """
     df = read_table(spark, directory, name)
     key = TABLE_KEYS.get(name)

@@ -1,13 +1,13 @@
 """Every registered query of the core against its SQL, over whole tables."""
 
 import pytest
-from conftest import MID, SMALL
+from conftest import SMALL
 from oracle import assert_same, connect, rows_of
 
 from aula.plans import catalog
 
 
-@pytest.fixture(scope="module", params=[SMALL, MID])
+@pytest.fixture(scope="module", params=[SMALL])
 def where(request):
     return request.param, connect(request.param)
 
