@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,14 +87,24 @@ def _dense_block(points: DataFrame, ids: list, lectures: list, vectors: list, k:
             m = vec.values.to_numpy(zero_copy_only=False).astype(float)[vec.offsets[0].as_py() : vec.offsets[-1].as_py()].reshape(b.num_rows, -1)
             size = np.linalg.norm(m, axis=1, keepdims=True)
             score = np.round(np.divide(m, size, out=np.zeros_like(m), where=size > 0) @ matrix.T, DIGITS)
-            own = b.column(1).to_pylist()
-            order_key = np.argsort(np.argsort(np.array(b.column(2).to_pylist(), dtype=object), kind="stable"), kind="stable")
+            names = b.column(1)
+            order = np.argsort(np.argsort(np.array(b.column(2).to_pylist(), dtype=object), kind="stable"), kind="stable")
+            everything, members = np.arange(b.num_rows), {}
+            for x in {x for x in lectures if x is not None}:
+                members[x] = np.flatnonzero(pc.equal(names, x).to_numpy(zero_copy_only=False).astype(bool))
+            picked, whose = [], []
             for q in range(len(qids)):
-                rows = np.arange(b.num_rows) if lectures[q] is None else np.array([i for i, x in enumerate(own) if x == lectures[q]], np.int64)
-                best = rows[np.lexsort((order_key[rows], -score[rows, q]))[:k]]
-                if len(best):
-                    take = pa.array(best)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[q])), b.column(0).take(take), b.column(2).take(take), pa.array(score[best, q])], ["qid", "id", "seq", "score"])
+                rows = everything if lectures[q] is None else members[lectures[q]]
+                own = score[rows, q]
+                if len(rows) > k:  # all rows as good as the k-th, ties included
+                    near = own >= np.partition(own, len(own) - k)[len(own) - k]
+                    rows, own = rows[near], own[near]
+                best = rows[np.lexsort((order[rows], -own))[:k]]
+                picked.append(best)
+                whose.append(np.full(len(best), q))
+            at, q = np.concatenate(picked), np.concatenate(whose)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[q]), b.column(0).take(take), b.column(2).take(take), pa.array(score[at, q])], ["qid", "id", "seq", "score"])
 
     return points.filter("vector IS NOT NULL").select("id", "lecture_id", "seq", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, out)
 
@@ -181,10 +192,11 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, k: int = 5, signals: tu
     lists = []
     for no, s in enumerate(signals):
         if s in dense:
-            points = hash_encode(chunks.select("id", "lecture_id", "seq", DENSE_SIGNALS[s]), ["id", "lecture_id", "seq"], DENSE_SIGNALS[s])
+            encoded = hash_encode(chunks.select("id", DENSE_SIGNALS[s]), ["id"], DENSE_SIGNALS[s])
+            points = chunks.select("id", "lecture_id", "seq").join(encoded, "id")
             found, method = dense_topk(points, vectors, many), "dense"
         else:
-            found, method = bm25_topk(corpus_terms(chunks, KEYWORD_SIGNALS[s]), questions, many, filtered=filtered), "bm25"
+            found, method = bm25_topk(cut_lineage(corpus_terms(chunks, KEYWORD_SIGNALS[s]), "index"), questions, many, filtered=filtered), "bm25"
         lists.append(found.select("qid", F.lit(no).alias("list_no"), F.lit(method).alias("method"), "id", "score", "rank"))
     ranked = lists[0]
     for x in lists[1:]:

@@ -24,8 +24,13 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "eval_items").withColumnRenamed("item_id", "qid")
 
 
+def _index(chunks: DataFrame) -> DataFrame:
+    """The inverted index, written once as statistics and scores both read it."""
+    return cut_lineage(corpus_terms(chunks, "embed_text"), "index")
+
+
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
-    return corpus_stats(corpus_terms(chunk_rows(spark, d), "embed_text"), []).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))
+    return corpus_stats(_index(chunk_rows(spark, d)), []).select("term", "df", F.round("idf", 6).alias("idf"), F.round("avgdl", 6).alias("avgdl"))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -33,11 +38,11 @@ def _out(df: DataFrame) -> DataFrame:
 
 
 def bm25_top(spark: SparkSession, d: str) -> DataFrame:
-    return _out(bm25_topk(corpus_terms(chunk_rows(spark, d), "embed_text"), items(spark, d), TOP))
+    return _out(bm25_topk(_index(chunk_rows(spark, d)), items(spark, d), TOP))
 
 
 def bm25_top_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return _out(bm25_topk(corpus_terms(chunk_rows(spark, d), "embed_text"), items(spark, d), TOP, filtered=True))
+    return _out(bm25_topk(_index(chunk_rows(spark, d)), items(spark, d), TOP, filtered=True))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +95,7 @@ def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def _evaluated(spark: SparkSession, d: str):
     chunks = chunk_rows(spark, d)
-    return cut_lineage(bm25_topk(corpus_terms(chunks, "embed_text"), items(spark, d), TOP, filtered=True), "results"), chunks, items(spark, d)
+    return cut_lineage(bm25_topk(_index(chunks), items(spark, d), TOP, filtered=True), "results"), chunks, items(spark, d)
 
 
 def eval_ranks(spark: SparkSession, d: str) -> DataFrame:
