@@ -74,7 +74,7 @@ def dense_topk(points: DataFrame, queries: DataFrame, k: int, *, block: int = QU
 def _dense_block(points: DataFrame, ids: list, lectures: list, vectors: list, k: int) -> DataFrame:
     schema = points.schema
     out = f"qid bigint, id {schema['id'].dataType.simpleString()}, seq {schema['seq'].dataType.simpleString()}, score double"
-    matrix = np.asarray(vectors, float).reshape(len(ids), -1)
+    matrix = np.asarray(vectors, float).reshape(len(ids), -1) if ids else np.zeros((0, 1))
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
     qids = np.asarray(ids, np.int64)
