@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aula.functions.text import clean_citations, count_words, format_timestamp, invalid_citations, join_parts, truncate_at_word, uncited_sentences, unique_in_order, valid_citations
+from aula.operators.retrieval import retrieve
+from aula.session import cut_lineage
+from aula.sources.providers import Provider, apply
 
 BETWEEN = "\n\n-----\n\n"
 
@@ -41,6 +44,26 @@ def check_answers(answers: DataFrame) -> DataFrame:
     return checked.select("qid", "cleaned", "cited", "invalid", warnings.alias("warnings"), (count_words(F.col("cleaned")) > 0).alias("has_text"))
 
 
+NOTHING_FOUND = "Nothing in the lecture material matches this question."
+
+
+def ask(chunks: DataFrame, questions: DataFrame, provider: Provider, *, k: int = 5, closest: int = 3, **search) -> DataFrame:
+    """``qid, answerable, cleaned, cited, warnings, closest`` for ``questions(qid, lecture_id, question)``.
+
+    Questions that find nothing get a fixed text and never reach the model. Where no valid source is cited, ``closest``
+    lists the best passages instead.
+    """
+    results = cut_lineage(retrieve(chunks, questions, k=k, **search), "results")
+    counted = results.groupBy("qid").agg(F.count("*").cast("int").alias("n_sources"), F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("r"))
+    prompted = apply(prompts(results, chunks, questions.select("qid", "question")), "prompt", "answer", provider)
+    replies = cut_lineage(questions.select("qid").join(prompted.select("qid", "answer"), "qid", "left").join(counted, "qid", "left"), "replies")
+    ready = replies.select("qid", F.coalesce("answer", F.lit(NOTHING_FOUND)).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.when(F.col("answer").isNull(), "none").otherwise("full").alias("coverage"))
+    checked = check_answers(ready).join(replies.select("qid", "r"), "qid")
+    best = F.slice(F.transform(F.coalesce("r", F.array().cast(replies.schema["r"].dataType)), lambda x: x.id), 1, closest)
+    answerable = F.size("cited") > 0
+    return checked.select("qid", answerable.alias("answerable"), "cleaned", "cited", "warnings", F.when(answerable, F.slice(best, 1, 0)).otherwise(best).alias("closest"))
+
+
 def answer_totals(runs: DataFrame) -> DataFrame:
     """Totals of ``runs(answerable, refused, cites_right, completeness, coverage, failed)``."""
     yes, no = F.coalesce("answerable", F.lit(False)), F.coalesce(~F.col("answerable"), F.lit(False))

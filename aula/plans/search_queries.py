@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aula.functions.text import STOP_WORDS, cache_key, format_timestamp, point_id, preview, result_line, sentences, source_line, uncited_sentences
-from aula.operators.answers import check_answers, prompts
+from aula.operators.answers import ask, check_answers, prompts
 from aula.operators.evaluation import hop_metrics, mean_length, metrics, ranks, score_range
 from aula.operators.retrieval import B, DIGITS, EPSILON, K1, RRF_K, bm25_topk, corpus_stats, corpus_terms, dense_topk, fuse, hash_encode, retrieve
 from aula.session import cut_lineage
+from aula.sources.providers import get
 from aula.sources.tables import read_records, read_table
 
 TOP = 10
@@ -157,7 +158,7 @@ def result_lines(spark: SparkSession, d: str) -> DataFrame:
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Reference answers with citations put in: every sentence end cites [1], some cite more."""
     text = F.concat(F.regexp_replace("reference_answer", r"\. ", " [1, 7]. "), F.lit(" [2,3]. See [0] ."))
-    return items(spark, d).select("qid", text.alias("answer"), F.lit(3).alias("n_sources"), F.lit("full").alias("coverage"))
+    return items(spark, d).filter("reference_answer IS NOT NULL").select("qid", text.alias("answer"), F.lit(3).alias("n_sources"), F.lit("full").alias("coverage"))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
@@ -174,6 +175,12 @@ def uncited(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d).select("qid", F.explode(uncited_sentences(F.col("answer"))).alias("sentence"))
 
 
+def ask_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way from question to checked answer with the stand-in model."""
+    asked = ask(chunk_rows(spark, d), items(spark, d).select("qid", "lecture_id", "question"), get("answer", "echo"), k=3, signals=("bm25",))
+    return asked.select("qid", "answerable", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.size("closest").alias("n_closest"))
+
+
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     results, chunks, asked = _evaluated(spark, d)
     usable = results.filter("rank <= 5")
@@ -262,7 +269,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, bm25_top, bm25_top_filtered, knn_topk, knn_topk_filtered, rrf_two, encode_chunks, hybrid_search, hybrid_search_filtered, rerank_replace, rerank_blend, eval_ranks, eval_metrics,
-        eval_metrics_strict, eval_hops, eval_score_range, eval_mean_length, point_ids, cache_keys, previews, fmt_time, source_lines, result_lines, citations, split_sentences, uncited, prompt_build,
+        eval_metrics_strict, eval_hops, eval_score_range, eval_mean_length, point_ids, cache_keys, previews, fmt_time, source_lines, result_lines, citations, split_sentences, uncited, prompt_build, ask_answers,
     )
 }
 SQL = {
@@ -292,3 +299,22 @@ SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h,
     "previews": "SELECT doc_id, CASE WHEN length(t) > 220 THEN regexp_replace(t[1:220], ' [^ ]*$', '') || ' ...' ELSE t END AS preview FROM (SELECT doc_id, replace(text, chr(10), ' ') AS t FROM documents)",
     "fmt_time": f"SELECT DISTINCT segment_id, {_TIME('start_timestamp')} AS shown FROM transcript_segments WHERE start_timestamp IS NOT NULL",
 }
+
+_TITLES = """titles AS (SELECT chunk_id, coalesce(string_agg(t, ' | ' ORDER BY i), '') AS titles FROM (SELECT chunk_id, t, min(i) AS i FROM (
+  SELECT chunk_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT chunk_id, any_value(slide_titles) AS ts FROM chunks GROUP BY 1)) WHERE trim(t) <> '' GROUP BY ALL) GROUP BY 1)"""
+_SPAN = f"{_TIME('s')} || ' - ' || {_TIME('e')}"
+SQL |= {
+    "source_lines": f"""WITH {_BASE}, {_TITLES} SELECT chunk_id, '[1] ' || lecture_id || ' | ' || {_SPAN} || CASE WHEN titles <> '' THEN ' | ' || titles ELSE '' END AS line
+FROM ch LEFT JOIN titles USING (chunk_id) WHERE s IS NOT NULL AND e IS NOT NULL""",
+    "result_lines": f"""WITH {_BASE}, {_bm25_sql(True, TOP, 'res')}, {_TITLES} SELECT qid, rank, rank || '. score ' || printf('%.3f', score) || '  ' || lecture_id || '  ' || {_SPAN} || '  ' ||
+CASE WHEN titles <> '' THEN titles ELSE '(no slide titles)' END AS line FROM res JOIN ch USING (chunk_id) LEFT JOIN titles USING (chunk_id) WHERE s IS NOT NULL AND e IS NOT NULL""",
+    "rrf_two": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, list_concat(CAST(embedding AS DOUBLE[])[33:64], CAST(embedding AS DOUBLE[])[1:32]) AS b FROM embeddings),
+p AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_cosine_similarity(q.a, v.a), {DIGITS}) AS x, round(list_cosine_similarity(q.a, v.b), {DIGITS}) AS y FROM v q JOIN v ON TRUE WHERE q.vec_id % 50 = 0),
+l AS (SELECT qid, id, 0 AS l, x AS score, row_number() OVER (PARTITION BY qid ORDER BY x DESC, id) AS rank FROM p QUALIFY rank <= 20
+  UNION ALL SELECT qid, id, 1, y, row_number() OVER (PARTITION BY qid ORDER BY y DESC, id) AS rank FROM p QUALIFY rank <= 20),
+f AS (SELECT qid, id, max(score) AS score, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST(1.0 AS DOUBLE) / ({RRF_K} + rank) ORDER BY l)), lambda a, b: a + b) AS fused, min(struct_pack(l := l, r := rank)) AS first FROM l GROUP BY ALL)
+SELECT qid, id, round(score, 6) AS score, round(fused, 9) AS fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, first) AS rank FROM f QUALIFY rank <= {TOP}""",
+    "citations": r"""SELECT item_id AS qid, trim(regexp_replace(regexp_replace(replace(replace(replace(t, '[1, 7]', '[1]'), '[2,3]', '[2, 3]'), '[0]', ''), ' {2,}', ' ', 'g'), '\s+([.,;:])', '\1', 'g')) AS cleaned,
+  CASE WHEN contains(t, '[1, 7]') THEN '1,2,3' ELSE '2,3' END AS cited, CASE WHEN contains(t, '[1, 7]') THEN '7,0' ELSE '0' END AS invalid, CAST(1 AS INTEGER) AS n_warnings
+FROM (SELECT item_id, regexp_replace(reference_answer, '\. ', ' [1, 7]. ', 'g') || ' [2,3]. See [0] .' AS t FROM eval_items WHERE reference_answer IS NOT NULL)""",
+}

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from aula.operators import answers as an
 from aula.operators import chunking as ck
 from aula.operators import retrieval as rt
 from aula.operators import timeline as tl
@@ -201,3 +202,22 @@ def test_checks_find_what_was_broken(spark):
     assert failing(ch=chunks.withColumn("next_chunk_id", F.lit("x"))) == {"chunks point at the next one"}
     assert failing(ch=chunks.withColumn("slide_timestamps", F.array(F.lit(0.0)))) >= {"every slide is in some chunk"}
     assert failing(ch=chunks.withColumn("text", F.lit("other words"))) == {"all speech is in some chunk"}
+
+
+def test_ask(spark):
+    def model(batch):
+        return ["A claim without any source at all. True [1]. False [9]." if "alpha" in p else "No source here today." for p in batch]
+
+    cols = "id string, lecture_id string, seq string, start_timestamp double, end_timestamp double, slide_titles array<string>, clean_text string, cleaned_text string, slide_description string, text string, embed_text string"
+    chunks = spark.createDataFrame([(f"c{i}", "a", str(i), 0.0, 9.0, ["T"], "", "shown", "", t, t) for i, t in enumerate(["alpha beta", "gamma delta", "omega delta", "kappa sigma", "theta"])], cols)
+    q = spark.createDataFrame([(1, "a", "alpha?"), (2, "a", "delta"), (3, "a", "nothing known")], "qid bigint, lecture_id string, question string")
+    got = {r.qid: r for r in an.ask(chunks, q, model, k=2, signals=("bm25",)).collect()}
+    assert got[1].answerable and got[1].cited == [1] and got[1].closest == [] and got[1].cleaned.endswith("False.") and len(got[1].warnings) == 2
+    assert not got[2].answerable and sorted(got[2].closest) == ["c1", "c2"] and "cites no source" in got[2].warnings
+    assert not got[3].answerable and got[3].cleaned == an.NOTHING_FOUND and got[3].closest == [] and got[3].warnings == []
+
+
+def test_answer_totals(spark):
+    rows = [(True, False, True, "full", "full", False), (True, True, False, "full", "none", False), (False, True, False, None, "none", False), (None, True, False, None, "none", False), (True, False, True, "partial", "partial", False), (True, None, None, "full", None, True)]
+    df = spark.createDataFrame(rows, "answerable boolean, refused boolean, cites_right boolean, completeness string, coverage string, failed boolean")
+    assert tuple(an.answer_totals(df).collect()[0]) == (1, 1, 2, 1, 0, 1)
