@@ -11,11 +11,13 @@ from functools import cache
 
 import numpy as np
 
-from aula.llm.look_alike import INVISIBLE, SOURCE, TARGET
+from aula.llm.look_alike import CYRILLIC, CYRILLIC_AS_LATIN, GREEK, GREEK_AS_LATIN, INVISIBLE, SOURCE, TARGET
 
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _MARK = re.compile("[̀-ͯ]")
 _TABLE = dict(zip(map(ord, SOURCE), TARGET))
+#: Small letters whose capitals look Latin: without case they must go the way of the capitals.
+_SMALL = {ord(a.lower()): b.lower() for a, b in zip(CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN)}
 _P = np.uint64(0x9E3779B97F4A7C15)
 SEPARATOR = "\n"
 
@@ -26,6 +28,7 @@ def fold(text: str) -> str:
         text = unicodedata.normalize("NFC", _INVISIBLE.sub("", text)).translate(_TABLE)
         if _MARK.search(text):
             text = unicodedata.normalize("NFC", text)
+        return text.lower().translate(_SMALL)
     return text.lower()
 
 
