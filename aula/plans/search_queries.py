@@ -128,6 +128,37 @@ def eval_mean_length(spark: SparkSession, d: str) -> DataFrame:
     return mean_length(results, chunks)
 
 
+def _retrieved(spark: SparkSession, d: str):
+    """As an evaluation searches: every lecture with all signals, questions without a lecture included."""
+    chunks, asked = chunk_rows(spark, d), items(spark, d)
+    return cut_lineage(retrieve(chunks, asked, k=TOP), "results"), chunks, asked
+
+
+def eval_ranks_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(*_retrieved(spark, d), TOP).select("qid", "hit_rank", "strict_rank", F.round("top_score", 6).alias("top_score"))
+
+
+def eval_metrics_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    return metrics(ranks(*_retrieved(spark, d), TOP))
+
+
+def eval_metrics_strict_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    return metrics(ranks(*_retrieved(spark, d), TOP), "strict_rank")
+
+
+def eval_hops_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    return hop_metrics(*_retrieved(spark, d))
+
+
+def eval_score_range_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    return score_range(ranks(*_retrieved(spark, d), TOP))
+
+
+def eval_mean_length_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    results, chunks, _ = _retrieved(spark, d)
+    return mean_length(results, chunks)
+
+
 def point_ids(spark: SparkSession, d: str) -> DataFrame:
     return read_records(spark, d, "chunks", "chunk_id").select("chunk_id", point_id(F.col("chunk_id")).alias("point_id"))
 
@@ -149,12 +180,21 @@ def source_lines(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", source_line(F.lit(1), F.col("lecture_id"), F.col("start_timestamp"), F.col("end_timestamp"), F.coalesce("slide_titles", F.array().cast("array<string>"))).alias("line"))
 
 
-def result_lines(spark: SparkSession, d: str) -> DataFrame:
-    results, chunks, _ = _evaluated(spark, d)
+def _lines(results: DataFrame, chunks: DataFrame) -> DataFrame:
     j = results.join(chunks, "id").filter("start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL")
     return j.select("qid", "rank", result_line(F.col("rank"), F.col("score"), F.col("lecture_id"), F.col("start_timestamp"), F.col("end_timestamp"), F.coalesce("slide_titles", F.array().cast("array<string>"))).alias("line"))
 
 
+def result_lines(spark: SparkSession, d: str) -> DataFrame:
+    results, chunks, _ = _evaluated(spark, d)
+    return _lines(results, chunks)
+
+
+def result_lines_unfiltered(spark: SparkSession, d: str) -> DataFrame:
+    results, chunks, _ = _retrieved(spark, d)
+    return _lines(results, chunks)
+
+
 def _answers(spark: SparkSession, d: str) -> DataFrame:
     """Reference answers with citations put in: every sentence end cites [1], some cite more."""
     text = F.concat(F.regexp_replace("reference_answer", r"\. ", " [1, 7]. "), F.lit(" [2,3]. See [0] ."))
@@ -182,7 +222,7 @@ def ask_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
-    results, chunks, asked = _evaluated(spark, d)
+    results, chunks, asked = _retrieved(spark, d)
     usable = results.filter("rank <= 5")
     return prompts(usable, chunks.filter("start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL"), asked.select("qid", "question"))
 
@@ -270,6 +310,7 @@ QUERIES = {
     for f in (
         bm25_stats, bm25_top, bm25_top_filtered, knn_topk, knn_topk_filtered, rrf_two, encode_chunks, hybrid_search, hybrid_search_filtered, rerank_replace, rerank_blend, eval_ranks, eval_metrics,
         eval_metrics_strict, eval_hops, eval_score_range, eval_mean_length, point_ids, cache_keys, previews, fmt_time, source_lines, result_lines, citations, split_sentences, uncited, prompt_build, ask_answers,
+        eval_ranks_unfiltered, eval_metrics_unfiltered, eval_metrics_strict_unfiltered, eval_hops_unfiltered, eval_score_range_unfiltered, eval_mean_length_unfiltered, result_lines_unfiltered,
     )
 }
 SQL = {

@@ -1,0 +1,25 @@
+"""The evaluation over all lectures and signals, against the SQL of the filtered one with its search replaced."""
+
+import pytest
+from conftest import SMALL
+from oracle import assert_same, connect
+
+from aula.plans import search_queries as sq
+
+FILTERED = sq._bm25_sql(True, sq.TOP, "res")
+#: Unrounded, as the lines round scores themselves.
+UNFILTERED = "res AS (" + sq._hybrid_sql(False).replace("round(score, 6) AS score", "score") + ")"
+
+
+@pytest.mark.parametrize("name", ["eval_ranks", "eval_metrics", "eval_metrics_strict", "eval_hops", "eval_score_range", "eval_mean_length", "result_lines"])
+def test_all_lectures_are_searched(spark, name):
+    sql = sq.SQL[name]
+    assert FILTERED in sql
+    assert_same(sq.QUERIES[f"{name}_unfiltered"](spark, SMALL), connect(SMALL), sql.replace(FILTERED, UNFILTERED))
+
+
+def test_questions_without_a_lecture_and_other_lectures(spark):
+    least = {r.answerable: r.least for r in sq.eval_score_range_unfiltered(spark, SMALL).collect()}
+    assert least[False] is not None
+    asked = sq.items(spark, SMALL)
+    assert {r.qid for r in sq.prompt_build(spark, SMALL).collect()} == {r.qid for r in asked.collect()}
