@@ -35,9 +35,14 @@ def verify_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Without the chunk checks, as its SQL has it."""
     return v.summary(v.union([f(spark, d) for f in (verify_transcript, verify_keyframes, verify_objects, verify_alignment)]))
 
 
+def verify_summary_whole(spark: SparkSession, d: str) -> DataFrame:
+    return v.summary(v.union([f(spark, d) for f in (verify_transcript, verify_keyframes, verify_objects, verify_alignment, verify_chunks)]))
+
+
 _W = lambda c: f"len(list_filter(regexp_split_to_array(coalesce({c}, ''), '{WS_RE2}+'), lambda x: x <> ''))"
 _OBJ = """so AS (SELECT object_id, any_value(lecture_id) AS lecture_id, any_value(start_timestamp) AS s, any_value(end_timestamp) AS e, any_value(transcript) AS transcript
   FROM knowledge_objects GROUP BY object_id HAVING any_value(start_timestamp) IS NOT NULL)"""
@@ -48,7 +53,7 @@ def _checks(source: str, checks: dict[str, tuple[str, str]]) -> str:
     return "SELECT lecture_id, \"check\", CASE WHEN bad = 'INFO' THEN 'INFO' WHEN n = 0 THEN 'PASS' ELSE bad END AS status, n FROM (" + " UNION ALL ".join(parts) + ")"
 
 
-QUERIES = {f.__name__: f for f in (verify_transcript, verify_keyframes, verify_content_types, verify_objects, verify_alignment, verify_chunks, verify_summary)}
+QUERIES = {f.__name__: f for f in (verify_transcript, verify_keyframes, verify_content_types, verify_objects, verify_alignment, verify_chunks, verify_summary, verify_summary_whole)}
 SQL = {
     "verify_transcript": f"""WITH {BASE}, o AS (SELECT *, lag(s) OVER (PARTITION BY lecture_id ORDER BY segment_id) AS before FROM seg), c AS (SELECT lecture_id, count_if(e < s) AS bad, count_if(s < before) AS ord FROM o GROUP BY 1)
 {_checks('c', {'transcript ends after it starts': ('bad', 'FAIL'), 'transcript is in time order': ('ord', 'FAIL')})}""",

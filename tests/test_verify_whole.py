@@ -1,0 +1,11 @@
+from conftest import SMALL
+from oracle import assert_same, connect
+
+from aula.plans import verify_queries as vq
+
+PARTS = ("verify_transcript", "verify_keyframes", "verify_objects", "verify_alignment", "verify_chunks")
+
+
+def test_summary_has_all_checks(spark):
+    rows = " UNION ALL ".join(f"SELECT * FROM ({vq.SQL[k]})" for k in PARTS)
+    assert_same(vq.verify_summary_whole(spark, SMALL), connect(SMALL), f'SELECT "check", status, count(*) AS lectures, CAST(sum(n) AS BIGINT) AS n FROM ({rows}) GROUP BY ALL')
