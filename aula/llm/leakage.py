@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,7 +172,11 @@ def _resident(rows: DataFrame, sides: DataFrame, schema: T.StructType, shared: i
 
 
 def _shuffled(rows: DataFrame, sides: DataFrame, schema: T.StructType, shared: int, k: int, window: int) -> DataFrame:
-    """A run through a fingerprint counts up to ``shared`` words on either side of it, which is enough to tell a leak."""
+    """A hit carries up to ``shared`` words on either side of a fingerprint, which is enough to tell a leak.
+
+    The pieces of one run lie on one diagonal (the same distance between the two places) and overlap or adjoin, as
+    every ``window`` hashes of the run hold a fingerprint; they are put together afterwards.
+    """
     around = "h bigint, place bigint, words array<bigint>, at int"
 
     def prints(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -196,9 +200,11 @@ def _shuffled(rows: DataFrame, sides: DataFrame, schema: T.StructType, shared: i
 
         return df.select(*columns, "text").mapInArrow(run, out)
 
-    a = prints(rows, ["k"])
-    b = prints(sides, ["item", "field"]).select("item", "field", "h", F.col("words").alias("other"), F.col("at").alias("other_at"))
-    pairs = a.join(b, "h").select("k", "item", "field", "place", "words", "at", "other", "other_at")
+    # texts of one key that differ have runs of their own
+    a = prints(rows.withColumn("doc", F.xxhash64("text")), ["k", "doc"])
+    b = prints(sides.withColumn("other_doc", F.xxhash64("text")), ["item", "field", "other_doc"]).select("item", "field", "other_doc", "h", F.col("place").alias("other_place"), F.col("words").alias("other"), F.col("at").alias("other_at"))
+    pairs = a.join(b, "h").select("k", "item", "field", "place", "words", "at", "other", "other_at", "other_place", "doc", "other_doc")
+    pieces = T.StructType([*schema.fields, *(T.StructField(c, T.LongType()) for c in ("diagonal", "doc", "other_doc"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,8 +214,15 @@ def _shuffled(rows: DataFrame, sides: DataFrame, schema: T.StructType, shared: i
             p, q = xo[:-1] + batch.column(5).to_numpy(), yo[:-1] + batch.column(7).to_numpy()
             first, n = extend(xv, p, xo[:-1], xo[1:], yv, q, yo[:-1], yo[1:])
             ok = n >= shared
-            place = batch.column(3).to_numpy() - (p - first)
+            at = batch.column(3).to_numpy()
+            place, diagonal = at - (p - first), at - batch.column(8).to_numpy()
             keep = pa.array(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), batch.column(2).filter(keep), pa.array(place[ok]), pa.array(n[ok])], schema.names)
-
-    return pairs.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), batch.column(2).filter(keep), pa.array(place[ok]), pa.array(n[ok]), pa.array(diagonal[ok]), batch.column(9).filter(keep), batch.column(10).filter(keep)], pieces.names)
+
+    own = ["k", "doc", "item", "field", "other_doc", "diagonal"]
+    line = Window.partitionBy(*own).orderBy("first_word", "end")
+    found = pairs.mapInArrow(run, pieces).withColumn("end", F.col("first_word") + F.col("n_words"))
+    parted = found.withColumn("reach", F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    numbered = parted.withColumn("run", F.count_if(F.coalesce(F.col("first_word") > F.col("reach"), F.lit(True))).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy(*own, "run").agg(F.min("first_word").alias("first_word"), F.max("end").alias("end"))
+    return whole.select("k", "item", "field", "first_word", (F.col("end") - F.col("first_word")).alias("n_words"))
