@@ -63,6 +63,11 @@ def format_timestamp(seconds: Column) -> Column:
     return F.when(h > 0, F.format_string("%d:%02d:%02d", h, m, r)).otherwise(F.format_string("%d:%02d", m, r))
 
 
+def shown_time(seconds: Column) -> Column:
+    """``format_timestamp``, or ``-:--`` where there is no time."""
+    return F.when(seconds.isNull(), "-:--").otherwise(format_timestamp(seconds))
+
+
 def truncate_at_word(c: Column, most: int) -> Column:
     """Texts over ``most`` characters: cut back to the last space within them, with an ellipsis."""
     return F.when(F.length(c) > most, F.concat(F.regexp_replace(F.substring(c, 1, most), r" [^ ]*$", ""), F.lit(" ..."))).otherwise(c)
@@ -86,12 +91,12 @@ def result_line(rank: Column, score: Column, lecture: Column, start: Column, end
     named = unique_in_order(titles)
     shown = F.when(F.size(named) > 0, F.array_join(named, " | ")).otherwise(F.lit("(no slide titles)"))
     value = F.format_string("%.3f", round_half_even(score, 3))
-    return F.concat(rank.cast("string"), F.lit(". score "), value, F.lit("  "), lecture, F.lit("  "), format_timestamp(start), F.lit(" - "), format_timestamp(end), F.lit("  "), shown)
+    return F.concat(rank.cast("string"), F.lit(". score "), value, F.lit("  "), lecture, F.lit("  "), shown_time(start), F.lit(" - "), shown_time(end), F.lit("  "), shown)
 
 
 def source_line(number: Column, lecture: Column, start: Column, end: Column, titles: Column) -> Column:
     named = unique_in_order(titles)
-    parts = F.concat(F.lit("["), number.cast("string"), F.lit("] "), lecture, F.lit(" | "), format_timestamp(start), F.lit(" - "), format_timestamp(end))
+    parts = F.concat(F.lit("["), number.cast("string"), F.lit("] "), lecture, F.lit(" | "), shown_time(start), F.lit(" - "), shown_time(end))
     return F.when(F.size(named) > 0, F.concat(parts, F.lit(" | "), F.array_join(named, " | "))).otherwise(parts)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aula.functions.text import clean_citations, count_words, format_timestamp, invalid_citations, join_parts, strip, truncate_at_word, uncited_sentences, unique_in_order, valid_citations
+from aula.functions.text import clean_citations, count_words, invalid_citations, join_parts, shown_time, strip, truncate_at_word, uncited_sentences, unique_in_order, valid_citations
 from aula.operators.retrieval import retrieve
 from aula.session import cut_lineage
 from aula.sources.providers import Provider, apply
@@ -15,7 +15,7 @@ BETWEEN = "\n\n-----\n\n"
 
 def excerpt(number: Column) -> Column:
     """Header, titles and the whole slide text, description and speech of a chunk; empty parts are left out."""
-    head = F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.col("lecture_id"), F.lit(" "), format_timestamp(F.col("start_timestamp")), F.lit(" - "), format_timestamp(F.col("end_timestamp")))
+    head = F.concat(F.lit("["), number.cast("string"), F.lit("] "), F.col("lecture_id"), F.lit(" "), shown_time(F.col("start_timestamp")), F.lit(" - "), shown_time(F.col("end_timestamp")))
     slide = F.when(strip(F.col("clean_text")) != "", F.col("clean_text")).otherwise(F.col("cleaned_text"))
     part = lambda name, c: F.when(strip(c) != "", F.concat(F.lit(name), strip(c)))
     titles = F.array_join(unique_in_order(F.coalesce("slide_titles", F.array().cast("array<string>"))), " | ")

@@ -181,13 +181,12 @@ def source_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lines(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    j = results.join(chunks, "id").filter("start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL")
-    return j.select("qid", "rank", result_line(F.col("rank"), F.col("score"), F.col("lecture_id"), F.col("start_timestamp"), F.col("end_timestamp"), F.coalesce("slide_titles", F.array().cast("array<string>"))).alias("line"))
+    return results.join(chunks, "id").select("qid", "rank", result_line(F.col("rank"), F.col("score"), F.col("lecture_id"), F.col("start_timestamp"), F.col("end_timestamp"), F.coalesce("slide_titles", F.array().cast("array<string>"))).alias("line"))
 
 
 def result_lines(spark: SparkSession, d: str) -> DataFrame:
     results, chunks, _ = _evaluated(spark, d)
-    return _lines(results, chunks)
+    return _lines(results, chunks.filter("start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL"))
 
 
 def result_lines_unfiltered(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +223,7 @@ def ask_answers(spark: SparkSession, d: str) -> DataFrame:
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
     results, chunks, asked = _retrieved(spark, d)
     usable = results.filter("rank <= 5")
-    return prompts(usable, chunks.filter("start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL"), asked.select("qid", "question"))
+    return prompts(usable, chunks, asked.select("qid", "question"))
 
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"

@@ -15,7 +15,10 @@ UNFILTERED = "res AS (" + sq._hybrid_sql(False).replace("round(score, 6) AS scor
 def test_all_lectures_are_searched(spark, name):
     sql = sq.SQL[name]
     assert FILTERED in sql
-    assert_same(sq.QUERIES[f"{name}_unfiltered"](spark, SMALL), connect(SMALL), sql.replace(FILTERED, UNFILTERED))
+    got = sq.QUERIES[f"{name}_unfiltered"](spark, SMALL)
+    if name == "result_lines":  # the SQL leaves out passages without a time
+        got = got.filter("line NOT LIKE '%-:--%'")
+    assert_same(got, connect(SMALL), sql.replace(FILTERED, UNFILTERED))
 
 
 def test_questions_without_a_lecture_and_other_lectures(spark):
