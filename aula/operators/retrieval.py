@@ -17,6 +17,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 CANDIDATES = 20
 DIMENSIONS = 64
+# The names of the signals and the texts they read.
 KEYWORD_SIGNALS = {"bm25": "embed_text", "bm25_speech": "text"}
 DENSE_SIGNALS = {"full": "embed_text", "speech": "text"}
 #: Query vectors compared at once; more queries are worked off in blocks of this size.
@@ -130,15 +131,22 @@ def corpus_stats(terms: DataFrame, by: list[str]) -> DataFrame:
 def bm25_topk(terms: DataFrame, questions: DataFrame, k: int, *, filtered: bool = False) -> DataFrame:
     """``qid, id, score, rank`` of ``questions(qid, lecture_id, question)`` over ``corpus_terms``.
 
-    Only scores above 0; repeated query words count again; ties go to the smaller ``seq``. ``filtered``: each question
-    searches, and takes its statistics from, its own lecture.
+    Only scores above 0 (before rounding); repeated query words count again. Scores are ranked as rounded to ``DIGITS``,
+    as sums taken in another order differ beyond; ties go to the smaller ``seq``. ``filtered``: each question searches,
+    and takes its statistics from, its own lecture; one without a lecture searches all.
     """
-    by = ["lecture_id"] if filtered else []
+    if filtered:
+        everywhere = bm25_topk(terms, questions.filter("lecture_id IS NULL"), k)
+        return _bm25(terms, questions.filter("lecture_id IS NOT NULL"), k, ["lecture_id"]).unionByName(everywhere)
+    return _bm25(terms, questions, k, [])
+
+
+def _bm25(terms: DataFrame, questions: DataFrame, k: int, by: list[str]) -> DataFrame:
     words = questions.select("qid", *by, F.explode(search_tokens(F.col("question"))).alias("term")).groupBy("qid", *by, "term").agg(F.count("*").alias("qn"))
     weighted = words.join(corpus_stats(terms, by), [*by, "term"])
     hits = weighted.join(terms.select("id", "lecture_id", "seq", "dl", "term", "tf") if by else terms.select("id", "seq", "dl", "term", "tf"), [*by, "term"])
     part = F.col("qn") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "id", "seq").agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
+    scored = hits.groupBy("qid", "id", "seq").agg(F.sum(part).alias("score")).filter("score > 0").withColumn("score", F.round("score", DIGITS))
     order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "seq")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "id", "score", "rank")
 
@@ -180,14 +188,14 @@ def retrieve(chunks: DataFrame, questions: DataFrame, *, k: int = 5, signals: tu
     """``qid, id, score, rank`` for ``questions(qid, lecture_id, question)`` over ``chunks(id, lecture_id, seq, text, embed_text)``.
 
     One signal is searched plainly, several are fused; questions are encoded only for dense signals. ``filtered``
-    restricts each question to its lecture; one without a lecture then finds nothing. All questions go through one plan.
+    restricts each question to its lecture; one without a lecture searches all. All questions go through one plan.
     """
     dense, keyword = plan_signals(list(signals))
     first = max(k, CANDIDATES) if rerank_mode else k
     many = max(first, CANDIDATES) if len(signals) > 1 else first
     vectors = None
     if dense:
-        asked = questions.filter("lecture_id IS NOT NULL") if filtered else questions.withColumn("lecture_id", F.lit(None).cast("string"))
+        asked = questions if filtered else questions.withColumn("lecture_id", F.lit(None).cast("string"))
         vectors = hash_encode(asked, ["qid"], "question").join(asked.select("qid", "lecture_id"), "qid")
     lists = []
     for no, s in enumerate(signals):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aula.functions.text import STOP_WORDS, cache_key, format_timestamp, point_id, preview, result_line, sentences, source_line, uncited_sentences
-from aula.operators.answers import ask, check_answers, prompts
+from aula.functions.text import ABBREVIATIONS, ABOUT_MATERIAL, LEAST_CITED_WORDS, STOP_WORDS, WS_RE2, cache_key, format_timestamp, point_id, preview, result_line, sentences, source_line, uncited_sentences
+from aula.operators import answers as an
+from aula.operators.answers import ask, check_answers, describe, prompts
 from aula.operators.evaluation import hop_metrics, mean_length, metrics, ranks, score_range
 from aula.operators.retrieval import B, DIGITS, EPSILON, K1, RRF_K, bm25_topk, corpus_stats, corpus_terms, dense_topk, fuse, hash_encode, retrieve
+from aula.plans.lecture_queries import _strip
 from aula.session import cut_lineage
 from aula.sources.providers import get
 from aula.sources.tables import read_records, read_table
@@ -16,9 +18,19 @@ from aula.sources.tables import read_records, read_table
 TOP = 10
 
 
-def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
-    chunks = read_records(spark, d, "chunks").withColumnRenamed("chunk_id", "id")
-    return cut_lineage(chunks.withColumn("seq", F.struct("lecture_id", F.coalesce("start_timestamp", F.lit(-1.0)).alias("s"), "id").cast("struct<l:string,s:double,i:string>")), "chunks").withColumn("seq", F.concat("seq.l", F.lit("|"), F.lpad(F.round(F.col("seq.s") * 1000).cast("bigint").cast("string"), 15, "0"), F.lit("|"), F.col("seq.i")))
+def _seq(lecture: Column, start: Column, key: Column) -> Column:
+    """Order of lecture and time as one string."""
+    return F.concat(lecture, F.lit("|"), F.lpad(F.round(F.coalesce(start, F.lit(-1.0)) * 1000).cast("bigint").cast("string"), 15, "0"), F.lit("|"), key)
+
+
+def chunk_rows(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Chunks with the two texts that are searched, written once; other columns are read where they are needed."""
+    chunks = read_records(spark, d, "chunks", "chunk_id", "lecture_id", "start_timestamp", "end_timestamp", "text", "embed_text", *more).withColumnRenamed("chunk_id", "id")
+    return cut_lineage(chunks.withColumn("seq", _seq(F.col("lecture_id"), F.col("start_timestamp"), F.col("id"))), "chunks")
+
+
+#: What prompts and lines show of a chunk beside the searched columns.
+SHOWN = ("slide_titles", "clean_text", "cleaned_text", "slide_description", "image_paths")
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -94,9 +106,10 @@ def rerank_blend(spark: SparkSession, d: str) -> DataFrame:
     return _out(retrieve(chunk_rows(spark, d), items(spark, d), k=5, signals=("bm25",), rerank_mode="blend"))
 
 
-def _evaluated(spark: SparkSession, d: str):
-    chunks = chunk_rows(spark, d)
-    return cut_lineage(bm25_topk(_index(chunks), items(spark, d), TOP, filtered=True), "results"), chunks, items(spark, d)
+def _evaluated(spark: SparkSession, d: str, *more: str):
+    """As an evaluation searches: every lecture with all signals, questions without a lecture included."""
+    chunks, asked = chunk_rows(spark, d, *more), items(spark, d)
+    return cut_lineage(retrieve(chunks, asked, k=TOP), "results"), chunks, asked
 
 
 def eval_ranks(spark: SparkSession, d: str) -> DataFrame:
@@ -128,37 +141,6 @@ def eval_mean_length(spark: SparkSession, d: str) -> DataFrame:
     return mean_length(results, chunks)
 
 
-def _retrieved(spark: SparkSession, d: str):
-    """As an evaluation searches: every lecture with all signals, questions without a lecture included."""
-    chunks, asked = chunk_rows(spark, d), items(spark, d)
-    return cut_lineage(retrieve(chunks, asked, k=TOP), "results"), chunks, asked
-
-
-def eval_ranks_unfiltered(spark: SparkSession, d: str) -> DataFrame:
-    return ranks(*_retrieved(spark, d), TOP).select("qid", "hit_rank", "strict_rank", F.round("top_score", 6).alias("top_score"))
-
-
-def eval_metrics_unfiltered(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(ranks(*_retrieved(spark, d), TOP))
-
-
-def eval_metrics_strict_unfiltered(spark: SparkSession, d: str) -> DataFrame:
-    return metrics(ranks(*_retrieved(spark, d), TOP), "strict_rank")
-
-
-def eval_hops_unfiltered(spark: SparkSession, d: str) -> DataFrame:
-    return hop_metrics(*_retrieved(spark, d))
-
-
-def eval_score_range_unfiltered(spark: SparkSession, d: str) -> DataFrame:
-    return score_range(ranks(*_retrieved(spark, d), TOP))
-
-
-def eval_mean_length_unfiltered(spark: SparkSession, d: str) -> DataFrame:
-    results, chunks, _ = _retrieved(spark, d)
-    return mean_length(results, chunks)
-
-
 def point_ids(spark: SparkSession, d: str) -> DataFrame:
     return read_records(spark, d, "chunks", "chunk_id").select("chunk_id", point_id(F.col("chunk_id")).alias("point_id"))
 
@@ -176,33 +158,33 @@ def fmt_time(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_lines(spark: SparkSession, d: str) -> DataFrame:
-    c = read_records(spark, d, "chunks").filter("start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL")
+    c = read_records(spark, d, "chunks", "chunk_id", "lecture_id", "start_timestamp", "end_timestamp", "slide_titles")
     return c.select("chunk_id", source_line(F.lit(1), F.col("lecture_id"), F.col("start_timestamp"), F.col("end_timestamp"), F.coalesce("slide_titles", F.array().cast("array<string>"))).alias("line"))
 
 
-def _lines(results: DataFrame, chunks: DataFrame) -> DataFrame:
-    return results.join(chunks, "id").select("qid", "rank", result_line(F.col("rank"), F.col("score"), F.col("lecture_id"), F.col("start_timestamp"), F.col("end_timestamp"), F.coalesce("slide_titles", F.array().cast("array<string>"))).alias("line"))
-
-
 def result_lines(spark: SparkSession, d: str) -> DataFrame:
-    results, chunks, _ = _evaluated(spark, d)
-    return _lines(results, chunks.filter("start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL"))
-
-
-def result_lines_unfiltered(spark: SparkSession, d: str) -> DataFrame:
-    results, chunks, _ = _retrieved(spark, d)
-    return _lines(results, chunks)
+    results, chunks, _ = _evaluated(spark, d, "slide_titles")
+    line = result_line(F.col("rank"), F.col("score"), F.col("lecture_id"), F.col("start_timestamp"), F.col("end_timestamp"), F.coalesce("slide_titles", F.array().cast("array<string>")))
+    return results.join(chunks, "id").select("qid", "rank", line.alias("line"))
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """Reference answers with citations put in: every sentence end cites [1], some cite more."""
-    text = F.concat(F.regexp_replace("reference_answer", r"\. ", " [1, 7]. "), F.lit(" [2,3]. See [0] ."))
-    return items(spark, d).filter("reference_answer IS NOT NULL").select("qid", text.alias("answer"), F.lit(3).alias("n_sources"), F.lit("full").alias("coverage"))
+    """Reference answers as a model could have written them: in turn without a citation, with one that does not exist,
+    with good, bad and missing ones, and with good ones in a refusal."""
+    kind, text = F.pmod("qid", F.lit(4)), F.col("reference_answer")
+    written = (
+        F.when(kind == 0, F.concat(text, F.lit(" It is said once more, cf. The last part of the lecture.")))
+        .when(kind == 1, F.concat(text, F.lit(" [7].")))
+        .when(kind == 2, F.concat(F.lit("In short [02, 7]. "), text, F.lit(" [3,1] Then it goes on. See [0] .\n[2] Nothing more")))
+        .otherwise(F.concat(text, F.lit(" [1]. The material says no more.")))
+    )
+    coverage = F.when(kind == 3, "none").when(kind == 2, "partial").otherwise("full")
+    return items(spark, d).filter("reference_answer IS NOT NULL").select("qid", written.alias("answer"), F.lit(3).alias("n_sources"), coverage.alias("coverage"))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
     c = check_answers(_answers(spark, d))
-    return c.select("qid", "cleaned", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.array_join("invalid", ",").alias("invalid"), F.size("warnings").alias("n_warnings"))
+    return c.select("qid", "answerable", "cleaned", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.array_join("invalid", ",").alias("invalid"), F.size("warnings").alias("n_warnings"))
 
 
 def split_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -211,19 +193,25 @@ def split_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uncited(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark, d).select("qid", F.explode(uncited_sentences(F.col("answer"))).alias("sentence"))
+    return _answers(spark, d).select("qid", F.posexplode(uncited_sentences(F.col("answer"))).alias("pos", "sentence"))
 
 
 def ask_answers(spark: SparkSession, d: str) -> DataFrame:
     """The whole way from question to checked answer with the stand-in model."""
-    asked = ask(chunk_rows(spark, d), items(spark, d).select("qid", "lecture_id", "question"), get("answer", "echo"), k=3, signals=("bm25",))
-    return asked.select("qid", "answerable", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.size("closest").alias("n_closest"))
+    asked = ask(chunk_rows(spark, d, *SHOWN), items(spark, d).select("qid", "lecture_id", "question"), get("answer", "echo"), k=3, signals=("bm25",))
+    names = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x.number.cast("string"), x.lecture_id, x.start_label)), " / ")
+    return asked.select("qid", "mode", "coverage", "answerable", "banner", "text", F.array_join(F.col("cited").cast("array<string>"), ",").alias("cited"), F.size("warnings").alias("n_warnings"), names("sources").alias("sources"), names("closest").alias("closest"))
+
+
+def describe_sources(spark: SparkSession, d: str) -> DataFrame:
+    """All chunks as a reader would see them."""
+    c = read_records(spark, d, "chunks", "chunk_id", "lecture_id", "start_timestamp", "end_timestamp", "text", *SHOWN).withColumn("x", describe(F.lit(1), F.length(F.coalesce("text", F.lit(""))) / 1000.0))
+    return c.select("chunk_id", "x.lecture_id", "x.start_label", "x.end_label", F.array_join("x.titles", " | ").alias("titles"), "x.image_url", "x.excerpt", "x.score")
 
 
 def prompt_build(spark: SparkSession, d: str) -> DataFrame:
-    results, chunks, asked = _retrieved(spark, d)
-    usable = results.filter("rank <= 5")
-    return prompts(usable, chunks, asked.select("qid", "question"))
+    results, chunks, asked = _evaluated(spark, d, *SHOWN)
+    return prompts(results.filter("rank <= 5"), chunks, asked.select("qid", "question"))
 
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
@@ -237,17 +225,19 @@ qt AS (SELECT item_id AS qid, lecture_id, term, count(*) AS qn FROM (SELECT item
 
 
 def _bm25_sql(filtered: bool, k: int, name: str) -> str:
-    by = "lecture_id" if filtered else "0"
-    on = "q.lecture_id = l.lecture_id AND " if filtered else ""
+    """``filtered``: by lecture, and over all of them for questions without one."""
+    own = "SELECT lecture_id AS g, * FROM len UNION ALL " if filtered else ""
     return f"""
-{name}_n AS (SELECT {by} AS g, count(*) AS n_docs, avg(dl) AS avgdl FROM len GROUP BY 1),
-{name}_d AS (SELECT {by} AS g, term, count(*) AS df FROM post JOIN len USING (chunk_id) GROUP BY ALL),
+{name}_l AS ({own}SELECT '*' AS g, * FROM len),
+{name}_n AS (SELECT g, count(*) AS n_docs, avg(dl) AS avgdl FROM {name}_l GROUP BY 1),
+{name}_d AS (SELECT g, term, count(*) AS df FROM post JOIN {name}_l USING (chunk_id) GROUP BY ALL),
 {name}_r AS (SELECT g, term, df, avgdl, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM {name}_d JOIN {name}_n USING (g)),
 {name}_i AS (SELECT g, term, df, avgdl, CASE WHEN raw < 0 THEN {EPSILON} * avg(raw) OVER (PARTITION BY g) ELSE raw END AS idf FROM {name}_r),
 {name} AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM (
-  SELECT qid, l.chunk_id, l.seq, round(sum(qn * idf * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))), {DIGITS}) AS score
-  FROM qt q JOIN post p ON q.term = p.term JOIN len l ON l.chunk_id = p.chunk_id JOIN {name}_i i ON i.term = q.term AND i.g = {'l.lecture_id' if filtered else '0'} WHERE {on}TRUE
-  GROUP BY ALL) WHERE score > 0 QUALIFY rank <= {k})"""
+  SELECT qid, chunk_id, seq, round(score, {DIGITS}) AS score FROM (
+    SELECT qid, l.chunk_id, l.seq, sum(qn * idf * tf * {K1 + 1} / (tf + {K1} * (1 - {B} + {B} * dl / avgdl))) AS score
+    FROM qt q JOIN post p ON q.term = p.term JOIN {name}_l l ON l.chunk_id = p.chunk_id AND l.g = {"coalesce(q.lecture_id, '*')" if filtered else "'*'"} JOIN {name}_i i ON i.term = q.term AND i.g = l.g
+    GROUP BY ALL) WHERE score > 0) QUALIFY rank <= {k})"""
 
 
 def _encode_sql(name: str, source: str, key: str, text: str) -> str:
@@ -257,7 +247,7 @@ def _encode_sql(name: str, source: str, key: str, text: str) -> str:
 
 
 def _dense_sql(name: str, points: str, k: int, filtered: bool) -> str:
-    same = "AND c.lecture_id = q.lecture_id" if filtered else ""
+    same = "AND (q.lecture_id IS NULL OR c.lecture_id = q.lecture_id)" if filtered else ""
     return f"""
 {name} AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM (
   SELECT q.item_id AS qid, c.chunk_id, c.seq, round(coalesce(max(dot) / (max(qn.norm) * max(pn.norm)), 0), {DIGITS}) AS score
@@ -279,7 +269,9 @@ qs AS (SELECT qid, list(DISTINCT term) AS t FROM qt GROUP BY qid), cs AS (SELECT
 pairs AS (SELECT qid, chunk_id, rank, len(list_intersect(qs.t, cs.t)) / len(list_distinct(list_concat(qs.t, cs.t))) AS score FROM bm JOIN qs USING (qid) JOIN cs USING (chunk_id)),
 re AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS nr FROM pairs)"""
 
-_EVAL = f"""WITH {_BASE}, {_bm25_sql(True, TOP, 'res')},
+#: Unrounded scores, as what shows them rounds them itself.
+_RES = "res AS (" + _hybrid_sql(False).replace("round(score, 6) AS score", "score") + ")"
+_EVAL = f"""WITH {_BASE}, {_RES},
 main AS (SELECT item_id AS qid, CAST(NULL AS BIGINT) AS hop, lecture_id, unnest(answer_ranges) AS r FROM eval_items),
 more AS (SELECT item_id AS qid, CAST(NULL AS BIGINT) AS hop, x.lecture_id, unnest(x.ranges) AS r FROM (SELECT item_id, unnest(extra_locations) AS x FROM eval_items)
   UNION ALL SELECT item_id, hop, x.lecture_id, unnest(x.ranges) FROM (SELECT item_id, generate_subscripts(hops, 1) AS hop, unnest(hops) AS x FROM eval_items)),
@@ -308,8 +300,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bm25_stats, bm25_top, bm25_top_filtered, knn_topk, knn_topk_filtered, rrf_two, encode_chunks, hybrid_search, hybrid_search_filtered, rerank_replace, rerank_blend, eval_ranks, eval_metrics,
-        eval_metrics_strict, eval_hops, eval_score_range, eval_mean_length, point_ids, cache_keys, previews, fmt_time, source_lines, result_lines, citations, split_sentences, uncited, prompt_build, ask_answers,
-        eval_ranks_unfiltered, eval_metrics_unfiltered, eval_metrics_strict_unfiltered, eval_hops_unfiltered, eval_score_range_unfiltered, eval_mean_length_unfiltered, result_lines_unfiltered,
+        eval_metrics_strict, eval_hops, eval_score_range, eval_mean_length, describe_sources, point_ids, cache_keys, previews, fmt_time, source_lines, result_lines, citations, split_sentences, uncited, prompt_build, ask_answers,
     )
 }
 SQL = {
@@ -342,19 +333,70 @@ SELECT chunk_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h,
 
 _TITLES = """titles AS (SELECT chunk_id, coalesce(string_agg(t, ' | ' ORDER BY i), '') AS titles FROM (SELECT chunk_id, t, min(i) AS i FROM (
   SELECT chunk_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM (SELECT chunk_id, any_value(slide_titles) AS ts FROM chunks GROUP BY 1)) WHERE trim(t) <> '' GROUP BY ALL) GROUP BY 1)"""
-_SPAN = f"{_TIME('s')} || ' - ' || {_TIME('e')}"
+_SHOWN = lambda c: f"CASE WHEN {c} IS NULL THEN '-:--' ELSE {_TIME(c)} END"
+_SPAN = f"{_SHOWN('s')} || ' - ' || {_SHOWN('e')}"
+_EXTRA = "cx AS (SELECT chunk_id, any_value(slide_titles) AS ts, any_value(clean_text) AS c1, any_value(cleaned_text) AS c2, any_value(slide_description) AS sd, any_value(image_paths) AS im FROM chunks GROUP BY 1)"
+_CIT = rf"\[[0-9]+(?:{WS_RE2}*,{WS_RE2}*[0-9]+)*\]"
+
+
+def _sentences_sql(t: str) -> str:
+    pieces = f"flatten(list_transform(list_filter(list_transform(string_split({t}, chr(10)), lambda x: {_strip('x')}), lambda x: x <> ''), lambda x: string_split(regexp_replace(x, '([.!?]){WS_RE2}+([A-Z0-9\"''(\\[`])', '\\1' || chr(10) || '\\2', 'g'), chr(10))))"
+    lead = f"regexp_extract(p, '^(?:{_CIT}{WS_RE2}*)+')"
+    ends = " OR ".join(f"ends_with(lower(pcs[i - 1]), '{a}')" for a in ABBREVIATIONS)
+    written = f"""list_transform(pcs, lambda p, i: CASE WHEN i = 1 THEN p WHEN {lead} <> '' THEN ' ' || {_strip(lead)} || CASE WHEN p[length({lead}) + 1:] = '' THEN '' ELSE chr(10) || p[length({lead}) + 1:] END
+      WHEN {ends} THEN ' ' || p ELSE chr(10) || p END)"""
+    return f"(SELECT CASE WHEN len(pcs) = 0 THEN [] ELSE string_split(array_to_string({written}, ''), chr(10)) END FROM (SELECT {pieces} AS pcs))"
+
+
+_TURNS = r"""answers AS (SELECT item_id AS qid, CASE item_id % 4 WHEN 0 THEN reference_answer || ' It is said once more, cf. The last part of the lecture.' WHEN 1 THEN reference_answer || ' [7].'
+    WHEN 2 THEN 'In short [02, 7]. ' || reference_answer || ' [3,1] Then it goes on. See [0] .' || chr(10) || '[2] Nothing more' ELSE reference_answer || ' [1]. The material says no more.' END AS t,
+    CASE item_id % 4 WHEN 3 THEN 'none' WHEN 2 THEN 'partial' ELSE 'full' END AS coverage FROM eval_items WHERE reference_answer IS NOT NULL)"""
+_OPEN = lambda t: f"list_filter({_sentences_sql(t)}, lambda s: NOT regexp_matches(s, '{_CIT}') AND len(list_filter(regexp_split_to_array(s, '{WS_RE2}+'), lambda x: x <> '')) >= {LEAST_CITED_WORDS} AND NOT regexp_matches(lower(s), '{'|'.join(ABOUT_MATERIAL)}'))"
+
+
+def _checked_sql(source: str) -> str:
+    """``qid, coverage, cleaned, cited, invalid, open`` of ``source(qid, t, n, coverage)``."""
+    good = "list_filter(list_transform(regexp_extract_all(inside[i], '[0-9]+'), lambda x: CAST(x AS BIGINT)), lambda x: x BETWEEN 1 AND n)"
+    first = lambda good: f"list_transform(list_sort(list_distinct(list_filter(nums, lambda x: {good}))), lambda x: struct_pack(at := list_position(nums, x), x := x))"
+    return f"""
+cut AS (SELECT *, regexp_split_to_array(t, '{_CIT}') AS between, regexp_extract_all(t, '{_CIT}') AS inside, flatten(list_transform(regexp_extract_all(t, '{_CIT}'), lambda m: list_transform(regexp_extract_all(m, '[0-9]+'), lambda x: CAST(x AS BIGINT)))) AS nums FROM {source}),
+made AS (SELECT qid, coverage, n, {_strip(f"regexp_replace(regexp_replace(array_to_string(list_transform(between, lambda b, i: b || CASE WHEN i > len(inside) THEN '' ELSE CASE WHEN len({good}) > 0 THEN '[' || array_to_string({good}, ', ') || ']' ELSE '' END END), ''), ' {{2,}}', ' ', 'g'), '{WS_RE2}+([.,;:])', '\\1', 'g')")} AS cleaned,
+  list_transform(list_sort({first('x BETWEEN 1 AND n')}), lambda y: y.x) AS cited, list_transform(list_sort({first('x NOT BETWEEN 1 AND n')}), lambda y: y.x) AS invalid FROM cut),
+checked AS (SELECT *, {_OPEN('cleaned')} AS open FROM made)"""
+
+
+_WARNINGS = "CAST((len(invalid) > 0)::INTEGER + (coverage <> 'none' AND len(cited) = 0)::INTEGER + (coverage <> 'none' AND len(cited) > 0 AND len(open) > 0)::INTEGER AS INTEGER)"
+_URL = r"""CASE WHEN regexp_full_match(lecture_id, '[A-Za-z0-9_-]+') AND regexp_full_match(regexp_extract(im[1], '[^\\/]*$'), '[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)*\.(jpg|jpeg|png)') THEN '/slides/' || lecture_id || '/' || regexp_extract(im[1], '[^\\/]*$') END"""
+_SAID = _strip("coalesce(text, '')")
+_PART = lambda name, c: f"CASE WHEN {_strip(c)} <> '' THEN chr(10) || '{name}' || {_strip(c)} ELSE '' END"
+_EXCERPT = f"""'[' || rank || '] ' || lecture_id || ', ' || {_SPAN} || CASE WHEN len(coalesce(ts, [])) > 0 THEN chr(10) || '{an.TITLES}' || array_to_string(list_transform(ts, lambda x: coalesce(x, '')), ' | ') ELSE '' END
+  || {_PART(an.SLIDE, f"CASE WHEN {_strip(chr(99) + 'oalesce(c1, chr(32))')} <> '' THEN c1 ELSE coalesce(c2, '') END")} || {_PART(an.PICTURE, "coalesce(sd, '')")} || chr(10) || '{an.SPEECH}' || {_SAID}"""
+
 SQL |= {
     "source_lines": f"""WITH {_BASE}, {_TITLES} SELECT chunk_id, '[1] ' || lecture_id || ' | ' || {_SPAN} || CASE WHEN titles <> '' THEN ' | ' || titles ELSE '' END AS line
-FROM ch LEFT JOIN titles USING (chunk_id) WHERE s IS NOT NULL AND e IS NOT NULL""",
-    "result_lines": f"""WITH {_BASE}, {_bm25_sql(True, TOP, 'res')}, {_TITLES} SELECT qid, rank, rank || '. score ' || printf('%.3f', score) || '  ' || lecture_id || '  ' || {_SPAN} || '  ' ||
-CASE WHEN titles <> '' THEN titles ELSE '(no slide titles)' END AS line FROM res JOIN ch USING (chunk_id) LEFT JOIN titles USING (chunk_id) WHERE s IS NOT NULL AND e IS NOT NULL""",
+FROM ch LEFT JOIN titles USING (chunk_id)""",
+    "result_lines": f"""WITH {_BASE}, {_RES}, {_TITLES} SELECT qid, rank, rank || '. score ' || printf('%.3f', score) || '  ' || lecture_id || '  ' || {_SPAN} || '  ' ||
+CASE WHEN titles <> '' THEN titles ELSE '(no slide titles)' END AS line FROM res JOIN ch USING (chunk_id) LEFT JOIN titles USING (chunk_id)""",
+    "describe_sources": f"""WITH {_BASE}, {_TITLES}, {_EXTRA} SELECT chunk_id, lecture_id, {_SHOWN('s')} AS start_label, {_SHOWN('e')} AS end_label, coalesce(titles, '') AS titles, {_URL} AS image_url,
+  CASE WHEN length({_SAID}) > {an.EXCERPT_CHARACTERS} THEN regexp_replace({_SAID}[1:{an.EXCERPT_CHARACTERS}], ' [^ ]*$', '') || ' ...' ELSE {_SAID} END AS excerpt, round_even(length(coalesce(text, '')) / 1000.0, 3) AS score
+FROM ch JOIN cx USING (chunk_id) LEFT JOIN titles USING (chunk_id)""",
+    "prompt_build": f"""WITH {_BASE}, {_RES}, {_EXTRA}, x AS (SELECT qid, rank, {_EXCERPT} AS x FROM res JOIN ch USING (chunk_id) JOIN cx USING (chunk_id) WHERE rank <= 5)
+SELECT qid, '{an.QUESTION}' || any_value({_strip('question')}) || '{an.EXCERPTS}' || string_agg(x, '{an.BETWEEN}' ORDER BY rank) AS prompt FROM x JOIN eval_items i ON i.item_id = qid GROUP BY qid""",
+    "split_sentences": f"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s AS sentence FROM (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT doc_id, {_sentences_sql('text')} AS ss FROM documents WHERE text IS NOT NULL))""",
+    "uncited": f"""WITH {_TURNS} SELECT qid, CAST(i - 1 AS INTEGER) AS pos, s AS sentence FROM (SELECT qid, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT qid, {_OPEN('t')} AS ss FROM answers))""",
+    "citations": f"""WITH {_TURNS}, numbered AS (SELECT *, 3 AS n FROM answers), {_checked_sql('numbered')}
+SELECT qid, coverage <> 'none' AS answerable, cleaned, array_to_string(cited, ',') AS cited, array_to_string(invalid, ',') AS invalid, {_WARNINGS} AS n_warnings FROM checked""",
     "rrf_two": f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, list_concat(CAST(embedding AS DOUBLE[])[33:64], CAST(embedding AS DOUBLE[])[1:32]) AS b FROM embeddings),
 p AS (SELECT q.vec_id AS qid, v.vec_id AS id, round(list_cosine_similarity(q.a, v.a), {DIGITS}) AS x, round(list_cosine_similarity(q.a, v.b), {DIGITS}) AS y FROM v q JOIN v ON TRUE WHERE q.vec_id % 50 = 0),
 l AS (SELECT qid, id, 0 AS l, x AS score, row_number() OVER (PARTITION BY qid ORDER BY x DESC, id) AS rank FROM p QUALIFY rank <= 20
   UNION ALL SELECT qid, id, 1, y, row_number() OVER (PARTITION BY qid ORDER BY y DESC, id) AS rank FROM p QUALIFY rank <= 20),
 f AS (SELECT qid, id, max(score) AS score, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(CAST(1.0 AS DOUBLE) / ({RRF_K} + rank) ORDER BY l)), lambda a, b: a + b) AS fused, min(struct_pack(l := l, r := rank)) AS first FROM l GROUP BY ALL)
 SELECT qid, id, round(score, 6) AS score, round(fused, 9) AS fused, row_number() OVER (PARTITION BY qid ORDER BY fused DESC, first) AS rank FROM f QUALIFY rank <= {TOP}""",
-    "citations": r"""SELECT item_id AS qid, trim(regexp_replace(regexp_replace(replace(replace(replace(t, '[1, 7]', '[1]'), '[2,3]', '[2, 3]'), '[0]', ''), ' {2,}', ' ', 'g'), '\s+([.,;:])', '\1', 'g')) AS cleaned,
-  CASE WHEN contains(t, '[1, 7]') THEN '1,2,3' ELSE '2,3' END AS cited, CASE WHEN contains(t, '[1, 7]') THEN '7,0' ELSE '0' END AS invalid, CAST(1 AS INTEGER) AS n_warnings
-FROM (SELECT item_id, regexp_replace(reference_answer, '\. ', ' [1, 7]. ', 'g') || ' [2,3]. See [0] .' AS t FROM eval_items WHERE reference_answer IS NOT NULL)""",
+    "ask_answers": f"""WITH {_BASE}, {_bm25_sql(False, 3, 'res')}, {_EXTRA}, x AS (SELECT qid, rank, {_EXCERPT} AS x, rank || ' ' || lecture_id || ' ' || {_SHOWN('s')} AS d FROM res JOIN ch USING (chunk_id) JOIN cx USING (chunk_id)),
+pr AS (SELECT item_id AS qid, '{an.QUESTION}' || {_strip('any_value(question)')} AS q, count(rank) AS n, list(d ORDER BY rank) AS ds, length('{an.QUESTION}' || {_strip('any_value(question)')} || '{an.EXCERPTS}' || string_agg(x, '{an.BETWEEN}' ORDER BY rank)) AS size FROM eval_items LEFT JOIN x ON x.qid = item_id GROUP BY item_id),
+replies AS (SELECT qid, ds, n, CASE WHEN n = 0 THEN '{an.NOTHING_FOUND}' ELSE q || ' [1]. See also the rest [2, 9].' END AS t, CASE WHEN n = 0 OR contains(q, ' not ') THEN 'none' WHEN size < 2000 THEN 'partial' ELSE 'full' END AS coverage FROM pr),
+{_checked_sql('replies')}
+SELECT qid, 'answer' AS mode, coverage, coverage <> 'none' AS answerable, CASE coverage WHEN 'none' THEN 'The lecture material does not cover this question.' WHEN 'partial' THEN 'The lecture material covers only part of this question.' ELSE '' END AS banner,
+  cleaned AS text, array_to_string(cited, ',') AS cited, {_WARNINGS} AS n_warnings, array_to_string(list_transform(cited, lambda c: ds[c]), ' / ') AS sources, CASE WHEN coverage = 'none' AND n > 0 THEN array_to_string(ds[1:3], ' / ') ELSE '' END AS closest
+FROM checked JOIN (SELECT qid, ds FROM replies) USING (qid)""",
 }

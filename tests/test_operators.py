@@ -49,10 +49,10 @@ def test_neighbours_cross_cells(spark):
 
 
 def test_knowledge_objects(spark):
-    s = seg(spark, [(1, "a", 0.0, 4.0, " Hello everyone"), (2, "a", 5.0, 9.0, " today we start\t"), (3, "a", 100.0, 110.0, " second slide now"), (4, "a", -5.0, -1.0, "before")])
+    s = seg(spark, [(1, "a", 0.0, 4.0, " Salt dissolves"), (2, "a", 5.0, 9.0, " in warm water\t"), (3, "a", 100.0, 110.0, " crystals form later"), (4, "a", -5.0, -1.0, "noise")])
     f = frames(spark, [0.0, 50.0, 100.0])
     got = sorted(tl.knowledge_objects(f, tl.align(s, f)).collect(), key=lambda r: r.start_timestamp)
-    assert [(r.transcript, r.end_timestamp, r.content_type) for r in got] == [("Hello everyone today we start", 50.0, ""), ("", 100.0, ""), ("second slide now", 110.0, "")]
+    assert [(r.transcript, r.end_timestamp, r.content_type) for r in got] == [("Salt dissolves in warm water", 50.0, ""), ("", 100.0, ""), ("crystals form later", 110.0, "")]
 
 
 def objects(spark, spans, titles):
@@ -117,10 +117,10 @@ def test_ocr_candidates_and_clean(spark):
     reply = spark.createDataFrame([("a", ["FILE:", "Nothing", "file"])], "lecture_id string, words array<string>")
     judged = split_reply(candidates(f), reply).collect()[0]
     assert judged.interface_words == ["file"] and judged.kept_as_content == ["enough", "the"]
-    one = [(1, "a", "File\nAccuracy\n|\noP\nreal", [0.93, 0.96, 0.0, 0.02, 0.9]), (2, "a", "x\ny", [0.3, -1.0]), (3, "a", "low", None), (4, "b", None, None)]
+    one = [(1, "a", "File\nViscosity\n~\nqZ\nflow", [0.88, 0.97, 0.1, 0.05, 0.8]), (2, "a", "x\ny", [0.3, -1.0]), (3, "a", "low", None), (4, "b", None, None)]
     junk = spark.createDataFrame([("a", ["file"])], "lecture_id string, interface_words array<string>")
     out = {r.frame_id: r for r in clean(spark.createDataFrame(one, f.schema), junk).collect()}
-    assert out[1].cleaned_text == "Accuracy real" and (out[1].before, out[1].after, out[1].dropped_symbol, out[1].dropped_interface, out[1].dropped_low_confidence) == (5, 2, 1, 1, 1)
+    assert out[1].cleaned_text == "Viscosity flow" and (out[1].before, out[1].after, out[1].dropped_symbol, out[1].dropped_interface, out[1].dropped_low_confidence) == (5, 2, 1, 1, 1)
     assert out[2].cleaned_text == "x y" and out[3].cleaned_text == "low" and out[3].without_confidences == 1 and out[4].cleaned_text == ""
     assert {r.lecture_id: r.before for r in counters(clean(spark.createDataFrame(one, f.schema), junk)).collect()} == {"a": 8, "b": 0}
 
@@ -183,7 +183,7 @@ def test_metrics(spark):
 
 
 def test_checks_find_what_was_broken(spark):
-    s = [(1, "a", 5.0, 8.0, "hello there"), (2, "a", 20.0, 30.0, "second piece here"), (3, "a", 105.0, 110.0, "third slide words")]
+    s = [(1, "a", 5.0, 8.0, "tides rise"), (2, "a", 20.0, 30.0, "twice each day"), (3, "a", 105.0, 110.0, "moon and sun")]
     f = frames(spark, [0.0, 100.0], ["A", "B"]).withColumn("description", F.lit("d")).withColumn("content_type", F.lit("chart")).withColumn("cleaned_text", F.lit(""))
     good = seg(spark, s)
     al = tl.align(good, f)
@@ -195,7 +195,7 @@ def test_checks_find_what_was_broken(spark):
         return {r.check for r in rows.filter("status = 'FAIL'").collect()}
 
     assert failing() == set()
-    assert failing(segments=seg(spark, [(1, "a", 5.0, 4.0, "hello there"), *s[1:]])) == {"transcript ends after it starts"}
+    assert failing(segments=seg(spark, [(1, "a", 5.0, 4.0, "tides rise"), *s[1:]])) == {"transcript ends after it starts"}
     assert "vision has a description" in failing(shots=f.withColumn("description", F.lit(None).cast("string")))
     assert {"no speech lost or duplicated"} <= failing(objs=obs.withColumn("transcript", F.lit("")))
     assert failing(aligned=al.withColumn("keyframe_timestamp", F.lit(0.0))) == {"alignment agrees with the slide spans"}
@@ -206,15 +206,25 @@ def test_checks_find_what_was_broken(spark):
 
 def test_ask(spark):
     def model(batch):
-        return ["A claim without any source at all. True [1]. False [9]." if "alpha" in p else "No source here today." for p in batch]
-
-    cols = "id string, lecture_id string, seq string, start_timestamp double, end_timestamp double, slide_titles array<string>, clean_text string, cleaned_text string, slide_description string, text string, embed_text string"
-    chunks = spark.createDataFrame([(f"c{i}", "a", str(i), 0.0, 9.0, ["T"], "", "shown", "", t, t) for i, t in enumerate(["alpha beta", "gamma delta", "omega delta", "kappa sigma", "theta"])], cols)
-    q = spark.createDataFrame([(1, "a", "alpha?"), (2, "a", "delta"), (3, "a", "nothing known")], "qid bigint, lecture_id string, question string")
+        if any("kappa" in p for p in batch):
+            raise RuntimeError("no reply")
+        full = {"coverage": "full", "answer": "A claim without any source at all. True [2]. False [9]."}
+        return [full if "alpha" in p else {"coverage": "none", "answer": "No source here today."} if "omega" in p else {"coverage": "partial", "answer": "Nothing is cited by me."} for p in batch]
+
+    cols = "id string, lecture_id string, seq string, start_timestamp double, end_timestamp double, slide_titles array<string>, clean_text string, cleaned_text string, slide_description string, text string, embed_text string, image_paths array<string>"
+    texts = ["alpha beta", "gamma delta", "omega delta", "kappa sigma", "theta", "alpha iota"]
+    chunks = spark.createDataFrame([(f"c{i}", "a", str(i), 60.0 * i, 9.0, ["T", "T"], "", "shown", "", t, t, [f"k\\frame_{i}.jpg"]) for i, t in enumerate(texts)], cols)
+    asked = [(1, "a", "alpha?"), (2, "a", "omega"), (3, "a", "nothing known"), (4, None, "sigma"), (5, "a", "theta")]
+    q = spark.createDataFrame(asked, "qid bigint, lecture_id string, question string")
     got = {r.qid: r for r in an.ask(chunks, q, model, k=2, signals=("bm25",)).collect()}
-    assert got[1].answerable and got[1].cited == [1] and got[1].closest == [] and got[1].cleaned.endswith("False.") and len(got[1].warnings) == 2
-    assert not got[2].answerable and sorted(got[2].closest) == ["c1", "c2"] and "cites no source" in got[2].warnings
-    assert not got[3].answerable and got[3].cleaned == an.NOTHING_FOUND and got[3].closest == [] and got[3].warnings == []
+    assert got[1].answerable and got[1].cited == [2] and got[1].closest == [] and got[1].text.endswith("False.") and len(got[1].warnings) == 2 and got[1].banner == ""
+    assert [tuple(s)[:7] for s in got[1].sources] == [(2, "a", "5:00", "0:09", ["T"], "/slides/a/frame_5.jpg", "alpha iota")]
+    assert not got[2].answerable and [s.number for s in got[2].closest] == [1] and got[2].warnings == [] and got[2].banner and got[2].sources == []
+    assert not got[3].answerable and got[3].text == an.NOTHING_FOUND and got[3].coverage == "none" and got[3].closest == [] and got[3].warnings == [] and not got[3].failed
+    assert got[4].failed and got[4].text is None and not got[4].answerable and got[4].closest == []
+    assert got[5].answerable and got[5].coverage == "partial" and got[5].warnings == ["cites no source"] and got[5].banner
+    found = {r.qid: r for r in an.ask(chunks, q, None, k=2, signals=("bm25",)).collect()}
+    assert [s.lecture_id for s in found[1].closest] == ["a", "a"] and {r.mode for r in found.values()} == {"search"} and found[3].closest == []
 
 
 def test_answer_totals(spark):

@@ -12,9 +12,9 @@ def prompt(spark, *chunks):
 def test_prompts_hold_whole_texts(spark):
     long = lambda w: " ".join(f"{w}{i}" for i in range(400))
     whole = prompt(spark, ("c", "a", 0.0, 9.0, ["T"], " \n", long("slide"), long("picture"), f" {long('speech')}\n"))
-    assert whole == f"Question: why?\n\n[1] a 0:00 - 0:09\nTitles: T\nSlide: {long('slide')}\nPicture: {long('picture')}\nSpeech: {long('speech')}"
+    assert whole == f"Question: why?\n\nExcerpts:\n\n[1] a, 0:00 - 0:09\nSlide titles: T\nSlide text:\n{long('slide')}\nDiagram or code on the slides:\n{long('picture')}\nSpeech:\n{long('speech')}"
 
 
 def test_passages_without_a_time_stay(spark):
     got = prompt(spark, ("c", "a", 0.0, 9.0, ["T"], "", "", "", "one"), ("d", "a", 5.0, None, [], "", "", "", "two"), ("e", "a", None, None, [], "", "", "", "three"))
-    assert "[2] a 0:05 - -:--\nSpeech: two" in got and "[3] a -:-- - -:--\nSpeech: three" in got
+    assert "[2] a, 0:05 - -:--\nSpeech:\ntwo" in got and "[3] a, -:-- - -:--\nSpeech:\nthree" in got
