@@ -11,13 +11,13 @@ from functools import cache
 
 import numpy as np
 
-from aula.llm.look_alike import CYRILLIC, CYRILLIC_AS_LATIN, GREEK, GREEK_AS_LATIN, INVISIBLE, SOURCE, TARGET
+from aula.llm.look_alike import ALIKE, INVISIBLE, LETTERS
 
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 _MARK = re.compile("[̀-ͯ]")
-_TABLE = dict(zip(map(ord, SOURCE), TARGET))
+_TABLE = str.maketrans(ALIKE)
 #: Small letters whose capitals look Latin: without case they must go the way of the capitals.
-_SMALL = {ord(a.lower()): b.lower() for a, b in zip(CYRILLIC + GREEK, CYRILLIC_AS_LATIN + GREEK_AS_LATIN)}
+_SMALL = {ord(a.lower()): b.lower() for a, b in LETTERS.items() if len(a.lower()) == 1 and a.isupper()}
 _P = np.uint64(0x9E3779B97F4A7C15)
 SEPARATOR = "\n"
 
