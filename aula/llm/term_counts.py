@@ -1,11 +1,14 @@
 """Problem 4: frequency of every distinct value or term.
 
-Each task counts a block of records: it encodes the block's terms with a dictionary of its own and keeps two count
-arrays over the codes, one for occurrences and one for records. Full blocks leave as (term, counts) rows, so that a
-frequent term leaves a block once, however often it occurs. The rows are shuffled to *identifier ranges* by a hash of
-the term and sorted by term; there the global dictionary gives each distinct term the next identifier of its range,
-and the blocks' count arrays are added up under that identifier. Nothing global is held in one place: a range reads
-its rows as a sorted stream, and identifiers depend on the terms only, not on the number of tasks.
+1. *Blocks.* Each task counts blocks of records: it codes a block's terms with numbers of its own and keeps two count arrays
+   over them, one for occurrences and one for records. A term leaves a block once, however often it occurs.
+2. *Dictionary.* The distinct terms of all blocks get global identifiers 0, 1, 2 ... without gaps: they are ranked within
+   hash ranges, and a range begins where the ones before end. Identifiers depend on the terms only, not on the tasks.
+3. *Encoding.* The blocks' terms are replaced by their identifiers.
+4. *Sums.* Encoded counts are shuffled by identifier range and added up in two arrays per range, indexed by identifier.
+5. The dictionary gives the terms back.
+
+Nothing global is held in one place: texts are read once, and blocks and dictionary are tables.
 
 Terms are the lines of a text, lowercased, without leading and trailing characters other than letters, digits and
 underscore; empty ones are dropped.
@@ -21,13 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aula.session import cut_lineage
+
 #: Distinct terms after which a task sends its block; bounds its memory.
 BLOCK_TERMS = 200_000
+#: Hash ranges in which terms are ranked; only their sizes are known everywhere.
 RANGES = 4096
-RANGE_BITS = 40
+#: Identifiers whose counts are added up in one pair of arrays.
+RANGE_SIZE = 1 << 16
 EDGE = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
 
 RARE_BELOW = 3
@@ -77,57 +84,42 @@ def _count_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield send()
 
 
-def _sum_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by range and term: identifiers are given in that order; equal terms are added up."""
-    last: tuple | None = None  # range, term, identifier and the two counts so far
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ranges, terms = b.column(0).to_numpy(), b.column(1)
-        occ, rec = b.column(2).to_numpy(), b.column(3).to_numpy()
-        change = np.ones(len(ranges), bool)
-        if len(ranges) > 1:
-            change[1:] = pc.not_equal(terms.slice(1), terms.slice(0, len(terms) - 1)).to_numpy(zero_copy_only=False) | (ranges[1:] != ranges[:-1])
-        first = np.flatnonzero(change)
-        occ, rec = np.add.reduceat(occ, first), np.add.reduceat(rec, first)
-        own_range, own_term = ranges[first].astype(np.int64), terms.take(pa.array(first))
-        # rank in the range: position since the range's first term in this batch, carried on from the batch before
-        new_range = np.ones(len(first), bool)
-        new_range[1:] = own_range[1:] != own_range[:-1]
-        start = np.maximum.accumulate(np.where(new_range, np.arange(len(first)), 0))
-        rank = np.arange(len(first)) - start
-        if last is not None and last[0] == own_range[0]:
-            same = own_term[0].as_py() == last[1]
-            rank[start == 0] += last[2] + (not same)
-            if same:
-                occ[0] += last[3]
-                rec[0] += last[4]
-            else:
-                yield _rows([last])
-        elif last is not None:
-            yield _rows([last])
-        last = (int(own_range[-1]), own_term[-1].as_py(), int(rank[-1]), int(occ[-1]), int(rec[-1]))
-        ids = (own_range << RANGE_BITS) | rank
-        yield pa.RecordBatch.from_arrays([own_term.slice(0, len(first) - 1), pa.array(ids[:-1]), pa.array(occ[:-1]), pa.array(rec[:-1])], OUT)
-    if last is not None:
-        yield _rows([last])
-
-
-OUT = ["term", "term_id", "n_occurrences", "n_records"]
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[1] for r in rows], pa.string()), pa.array([(r[0] << RANGE_BITS) | r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64())], OUT
-    )
-
-
-def term_counts(records: DataFrame, text: str = "text") -> DataFrame:
+def global_dictionary(terms: DataFrame, ranges: int = RANGES) -> DataFrame:
+    """``term, term_id``: the distinct ``term`` of all rows, numbered from 0 without gaps."""
+    distinct = terms.select("term").distinct().select("term", F.pmod(F.xxhash64("term"), F.lit(ranges)).cast("int").alias("range"))
+    ranked = cut_lineage(distinct.withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("term"))), "ranks")
+    sizes = ranked.groupBy("range").agg(F.count("*").alias("n"))
+    begins = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("begin"))
+    return ranked.join(F.broadcast(begins), "range").select("term", (F.col("begin") + F.col("rank") - 1).alias("term_id"))  # at most one row a range
+
+
+def _add_arrays(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays: dict[int, np.ndarray] = {}
+        for b in batches:
+            ids, counts = b.column(0).to_numpy(), np.stack([b.column(1).to_numpy(), b.column(2).to_numpy()])
+            own = ids // size
+            for r in np.unique(own):
+                here = own == r
+                at = arrays.setdefault(int(r), np.zeros((2, size), np.int64))
+                for k in (0, 1):
+                    np.add.at(at[k], ids[here] - r * size, counts[k, here])
+        for r, (occurrences, presence) in arrays.items():
+            used = np.flatnonzero(presence)
+            yield pa.RecordBatch.from_arrays([pa.array(used + r * size), pa.array(occurrences[used]), pa.array(presence[used])], ["term_id", "n_occurrences", "n_records"])
+
+    return run
+
+
+def term_counts(records: DataFrame, text: str = "text", *, ranges: int = RANGES, range_size: int = RANGE_SIZE) -> DataFrame:
     """``term, term_id, n_occurrences, n_records`` over all records."""
     blocks = records.filter(F.col(text) != "").select(F.col(text).alias("text")).mapInArrow(_count_block, "term string, n_occurrences bigint, n_records bigint")
-    ranged = blocks.select(F.pmod(F.xxhash64("term"), F.lit(RANGES)).cast("int").alias("range"), "term", "n_occurrences", "n_records")
-    ranged = ranged.repartition("range").sortWithinPartitions("range", "term")
-    return ranged.mapInArrow(_sum_ranges, "term string, term_id bigint, n_occurrences bigint, n_records bigint")
+    blocks = cut_lineage(blocks, "blocks")
+    dictionary = cut_lineage(global_dictionary(blocks, ranges), "dictionary")
+    encoded = blocks.join(dictionary, "term").select("term_id", "n_occurrences", "n_records")
+    ranged = encoded.repartition(F.floor(F.col("term_id") / range_size))
+    summed = ranged.mapInArrow(_add_arrays(range_size), "term_id bigint, n_occurrences bigint, n_records bigint")
+    return summed.join(dictionary, "term_id").select("term", "term_id", "n_occurrences", "n_records")
 
 
 def mark_terms(counts: DataFrame, n_records: int, *, rare_below: int = RARE_BELOW, common_percent: int = COMMON_PERCENT) -> DataFrame:
