@@ -4,13 +4,19 @@ Records are sets of terms; two are linked if they share at least ``threshold`` o
 
 Method: signature-coordinate inverted join. A record's signature has ``coordinates`` coordinates, each made of the
 minima of ``rows`` hash functions over its terms, so that two records of similarity s agree in a coordinate with
-probability s ** rows. Records are posted under their (coordinate, value) pairs. A pair counts as a candidate if it
-agrees in at least ``matches`` coordinates; hence it suffices to post the first coordinates - matches + 1 of a record in
-one global order, and the longest posting lists are skipped: the order puts values of long (rare) terms first. Posting
-lists are joined with themselves, collisions of each candidate are then counted over 64 single minima (four bits each,
-compared 16 at a time by bit operations), and pairs above the match threshold are compared exactly on their terms.
+probability s ** rows. Records are posted under their (coordinate, value) pairs, lists are joined with themselves and the
+collisions of every pair are counted; pairs that agree in ``matches`` coordinates or more are retained.
 
-With the default parameters a pair of similarity 0.7 is missed with a probability of 3e-5 (0.75: 6e-8).
+*Prefix and skip.* Such a pair agrees in one of the first coordinates - matches + 1 places of either record in any global
+order; the order puts values of short (common) terms last. The other ``matches`` - 1 entries of a record are marked as
+skipped: two skipped entries are never merged, so the longest lists make no pairs of their own. What two skipped entries
+would have counted is added from the skipped values, of which every entry of a record carries 32 bits.
+*Long lists.* A list of more than ``long_list`` entries is not joined with itself. Its members are posted again under their
+rarest terms within the list, as many as must hold a shared one if the threshold is met, which is exact.
+
+Retained pairs are thinned by 64 single minima (four bits each, compared 16 at a time by bit operations) and then compared
+exactly on their terms. With the default parameters a pair of similarity 0.7 is missed with a probability of 3e-5
+(0.75: 6e-8) for its coordinates and of 2e-6 for its minima.
 
 Records with equal term sets form a class; only classes are posted and compared, and members are looked up again
 at the end, so that copies never meet in a posting list, however many there are.
@@ -26,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aula.llm.folding import mix, string_hashes
@@ -40,6 +46,8 @@ ROWS = 5
 MATCHES = 2
 #: Of 64 single minima at least so many must agree (expected at 0.7: 46).
 SKETCH_MATCHES = 30
+#: Entries of a list from which its members are posted under their rarest terms instead.
+LONG_LIST = 2000
 BLOCK_ROWS = 1000
 SEED = 20_240_901
 
@@ -84,7 +92,7 @@ class Signer:
         return np.minimum.reduceat(table[code], bounds[:-1], axis=0)
 
     def postings(self, minima: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Keys of the (coordinate, value) pairs under which each record is posted."""
+        """Keys of the (coordinate, value) pairs of each record in the global order; the last matches - 1 are skipped."""
         m = minima.reshape(len(minima), self.coordinates, self.rows)
         keys = np.broadcast_to(np.arange(self.coordinates, dtype=np.uint64) * np.uint64(2) + kind.astype(np.uint64)[:, None] * np.uint64(1 << 20), m.shape[:2])
         with np.errstate(over="ignore"):
@@ -92,11 +100,8 @@ class Signer:
                 keys = (keys * np.uint64(0x9E3779B97F4A7C15)) ^ m[:, :, i]
                 keys = keys ^ (keys >> np.uint64(29))
             keys = mix(keys) >> np.uint64(12)
-        if self.matches > 1:
-            commonness = (m & np.uint32(15)).sum(2).astype(np.uint64)
-            order = np.argsort((commonness << np.uint64(52)) | keys, axis=1)[:, : self.coordinates - self.matches + 1]
-            keys = np.take_along_axis(keys, order, 1)
-        return keys.view(np.int64)
+        commonness = (m & np.uint32(15)).sum(2).astype(np.uint64)
+        return np.take_along_axis(keys, np.argsort((commonness << np.uint64(52)) | keys, axis=1), 1).view(np.int64)
 
     @staticmethod
     def sketches(minima: np.ndarray) -> np.ndarray:
@@ -132,7 +137,11 @@ def class_table(records: DataFrame, signer: Signer, least_terms: int) -> DataFra
 
 
 def postings(records: DataFrame, signer: Signer, least_terms: int) -> DataFrame:
-    """``key, cls``: one row per posted (coordinate, value) of each class that a task sees."""
+    """``key, cls, t0, t1 ...``: one row per (coordinate, value) of each class that a task sees.
+
+    Each ``t`` holds 32 bits of one skipped value of the class; the lowest bit of ``t0`` tells whether this entry is skipped.
+    """
+    tails = [f"t{i}" for i in range(max(signer.matches - 1, 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes of this task's last records: spares copies that lie together
@@ -149,9 +158,14 @@ def postings(records: DataFrame, signer: Signer, least_terms: int) -> DataFrame:
                 seen.clear()
             seen.update(map(int, cls[first]))
             if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first].ravel()), pa.array(np.repeat(cls[first], keys.shape[1]))], ["key", "cls"])
+                keys = keys[first]
+                skip = np.arange(signer.coordinates) > signer.coordinates - signer.matches
+                tail = (keys[:, skip] & 0xFFFFFFFF) << 1 if skip.any() else np.zeros((len(first), 1), np.int64)
+                columns = [np.repeat(t, signer.coordinates) for t in tail.T]
+                columns[0] = columns[0] | np.tile(skip, len(first))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(cls[first], signer.coordinates)), *map(pa.array, columns)], ["key", "cls", *tails])
 
-    return records.select("kind", "id", "text").mapInArrow(run, "key bigint, cls bigint")
+    return records.select("kind", "id", "text").mapInArrow(run, "key bigint, cls bigint, " + ", ".join(f"{t} bigint" for t in tails))
 
 
 def _agreeing(a: str, b: str):
@@ -162,20 +176,46 @@ def _agreeing(a: str, b: str):
     return F.lit(16) - F.bit_count(spread)
 
 
-def class_links(table: DataFrame, posted: DataFrame, threshold: tuple[int, int], sketch_matches: int) -> DataFrame:
+def long_list_pairs(entries: DataFrame, terms: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``a, b`` of all pairs within a list that can meet the threshold, from ``entries(key, cls)`` and ``terms(cls, terms)``.
+
+    Of n terms, in any order, one of the first n - ceil(threshold n) + 1 is shared with every record that is similar
+    enough; the order puts terms first that few members of the list have.
+    """
+    up, down = threshold
+    spread = entries.join(terms, "cls").select("key", "cls", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    common = spread.groupBy("key", "term").agg(F.count("*").alias("df"))
+    ranked = spread.join(common, ["key", "term"]).withColumn("at", F.row_number().over(Window.partitionBy("key", "cls").orderBy("df", "term")))
+    first = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * up / down) + 1).select("key", "term", "cls")
+    both = first.withColumnRenamed("cls", "a").join(first.withColumnRenamed("cls", "b"), ["key", "term"]).filter("a < b")
+    return both.select("a", "b").distinct()
+
+
+def class_links(table: DataFrame, posted: DataFrame, threshold: tuple[int, int], sketch_matches: int, matches: int = MATCHES, long_list: int = LONG_LIST) -> DataFrame:
     """``a, b, shared, either`` for linked classes, a < b."""
     up, down = threshold
+    terms = table.select("cls", "terms").dropDuplicates(["cls"])
+    tails = [c for c in posted.columns if c.startswith("t")]
     # copies that different tasks posted are dropped after the shuffle by key, before lists are joined
     lists = posted.repartition("key").dropDuplicates(["key", "cls"])
-    pairs = lists.select("key", F.col("cls").alias("a")).join(lists.select("key", F.col("cls").alias("b")), "key").filter("a < b").select("a", "b")
-    pairs = pairs.repartition("a").dropDuplicates(["a", "b"])
+    sized = lists.withColumn("size", F.count("*").over(Window.partitionBy("key")))
+    left = sized.filter(F.col("size") <= long_list).select("key", F.col("cls").alias("a"), *[F.col(t).alias(f"a_{t}") for t in tails])
+    right = lists.select("key", F.col("cls").alias("b"), *[F.col(t).alias(f"b_{t}") for t in tails])
+    merged = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("a_t0").bitwiseAND(F.col("b_t0")).bitwiseAND(F.lit(1)) == 0))
+    more = F.lit(0)
+    if matches > 1:
+        more = sum((F.when(F.shiftright(f"a_{x}", 1) == F.shiftright(f"b_{y}", 1), 1).otherwise(0) for x in tails for y in tails), F.lit(0))
+    found = merged.select("a", "b", F.lit(1).alias("one"), more.alias("more"))
+    crowded = long_list_pairs(sized.filter(F.col("size") > long_list).select("key", "cls"), terms, threshold)
+    found = found.unionByName(crowded.select("a", "b", F.lit(matches).alias("one"), F.lit(0).alias("more")))
+    counted = found.repartition("a").groupBy("a", "b").agg((F.sum("one") + F.max("more")).alias("n_matches"))
+    retained = counted.filter(F.col("n_matches") >= matches).select("a", "b")
     sketches = table.select("cls", "n", *SKETCH).dropDuplicates(["cls"])
     side = lambda name: sketches.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *SKETCH)])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = retained.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(F.least("a_n", "b_n") * down >= F.greatest("a_n", "b_n") * up)
     agreeing = sum((_agreeing(f"a_{c}", f"b_{c}") for c in SKETCH), F.lit(0))
     near = both.filter(agreeing >= sketch_matches).select("a", "b")
-    terms = table.select("cls", "terms").dropDuplicates(["cls"])
     exact = near.join(terms.withColumnsRenamed({"cls": "a", "terms": "ta"}), "a").join(terms.withColumnsRenamed({"cls": "b", "terms": "tb"}), "b")
     exact = exact.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("either", F.size("ta") + F.size("tb") - F.col("shared"))
     return exact.filter(F.col("shared") * down >= F.col("either") * up).select("a", "b", "shared", "either")
@@ -190,11 +230,12 @@ def near_duplicate_classes(
     rows: int = ROWS,
     matches: int = MATCHES,
     sketch_matches: int = SKETCH_MATCHES,
+    long_list: int = LONG_LIST,
 ) -> tuple[DataFrame, DataFrame]:
     """``members(kind, id, cls)`` and ``links(a, b, shared, either)`` between classes."""
     signer = Signer(coordinates, rows, matches)
     table = cut_lineage(class_table(records, signer, least_terms), "classes")
-    links = cut_lineage(class_links(table, postings(records, signer, least_terms), threshold, sketch_matches), "links")
+    links = cut_lineage(class_links(table, postings(records, signer, least_terms), threshold, sketch_matches, matches, long_list), "links")
     return table.select("kind", "id", "cls").distinct(), links
 
 

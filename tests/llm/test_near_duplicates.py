@@ -31,14 +31,14 @@ def brute(rows):
     return {(a[0], a[1], b[1]) for n, a in enumerate(keys) for b in keys[n + 1 :] if a[0] == b[0] and len(sets[a] & sets[b]) * 10 >= len(sets[a] | sets[b]) * 7}, keys
 
 
-@pytest.mark.parametrize("seed,matches", [(1, 1), (2, 2), (3, 4)])
-def test_random_sets_against_all_pairs(spark, seed, matches):
+@pytest.mark.parametrize("seed,matches,long_list", [(1, 1, 2000), (2, 2, 2000), (3, 4, 2000), (4, 2, 1), (5, 2, 2), (6, 3, 0)])
+def test_random_sets_against_all_pairs(spark, seed, matches, long_list):
     rows = make(seed)
     want, keys = brute(rows)
     data = [(k, i, "\n".join(t), 1) for k, i, t in rows] + [(0, 9000, None, 1), (0, 9001, "", 1), (0, 9002, "a\nb", 1)]
     data += data[:20]
     df = spark.createDataFrame(data, "kind int, id bigint, text string, cls int").repartition(5)
-    members, links = nd.near_duplicate_classes(df, matches=matches, coordinates=72 + 8 * (matches - 1))
+    members, links = nd.near_duplicate_classes(df, matches=matches, coordinates=72 + 8 * (matches - 1), long_list=long_list)
     got = [tuple(r) for r in nd.expand(members, links).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
     parent = {k: k for k in keys}
@@ -71,6 +71,16 @@ def test_many_copies_stay_one_class(spark):
     assert nd.expand(members, links).count() == 40 * 39 // 2
 
 
+def test_collisions_are_counted(spark):
+    """Records without skipped values and with them: what two skipped entries share is added."""
+    terms = spark.createDataFrame([(c, 12, 0, 0, 0, 0, [f"x{i}" for i in range(12)]) for c in range(6)], "cls bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, terms array<string>")
+    rows = [(1, 0, 20), (1, 1, 20), (2, 0, 20), (2, 1, 20), (3, 2, 40), (3, 3, 40), (9, 2, 41), (9, 3, 41), (4, 4, 60), (4, 5, 80), (8, 4, 61), (8, 5, 61)]
+    posted = spark.createDataFrame(rows, "key bigint, cls bigint, t0 bigint")
+    got = {(r.a, r.b) for r in nd.class_links(terms, posted, (7, 10), 0, 2).collect()}
+    assert got == {(0, 1), (2, 3)}
+    assert {(r.a, r.b) for r in nd.class_links(terms, posted, (7, 10), 0, 3).collect()} == {(0, 1)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "kind int, id bigint, text string")
     members, links = nd.near_duplicate_classes(df)
