@@ -197,7 +197,9 @@ def class_links(table: DataFrame, posted: DataFrame, threshold: tuple[int, int],
     terms = table.select("cls", "terms").dropDuplicates(["cls"])
     tails = [c for c in posted.columns if c.startswith("t")]
     # copies that different tasks posted are dropped after the shuffle by key, before lists are joined
-    lists = posted.repartition("key").dropDuplicates(["key", "cls"])
+    # (the three uses below ask for the same columns and filters, so that one shuffle serves them all)
+    there = " AND ".join(f"{c} IS NOT NULL" for c in ("key", "cls", *tails))
+    lists = posted.filter(there).repartition("key").dropDuplicates(["key", "cls"])
     sized = lists.withColumn("size", F.count("*").over(Window.partitionBy("key")))
     left = sized.filter(F.col("size") <= long_list).select("key", F.col("cls").alias("a"), *[F.col(t).alias(f"a_{t}") for t in tails])
     right = lists.select("key", F.col("cls").alias("b"), *[F.col(t).alias(f"b_{t}") for t in tails])
@@ -206,7 +208,7 @@ def class_links(table: DataFrame, posted: DataFrame, threshold: tuple[int, int],
     if matches > 1:
         more = sum((F.when(F.shiftright(f"a_{x}", 1) == F.shiftright(f"b_{y}", 1), 1).otherwise(0) for x in tails for y in tails), F.lit(0))
     found = merged.select("a", "b", F.lit(1).alias("one"), more.alias("more"))
-    crowded = long_list_pairs(sized.filter(F.col("size") > long_list).select("key", "cls"), terms, threshold)
+    crowded = long_list_pairs(sized.filter((F.col("size") > long_list) & (F.col("t0") >= 0)).select("key", "cls"), terms, threshold)
     found = found.unionByName(crowded.select("a", "b", F.lit(matches).alias("one"), F.lit(0).alias("more")))
     counted = found.repartition("a").groupBy("a", "b").agg((F.sum("one") + F.max("more")).alias("n_matches"))
     retained = counted.filter(F.col("n_matches") >= matches).select("a", "b")
