@@ -8,10 +8,14 @@ Input is one recognised token per line. Output is, per record, the noisy lines a
 2. *Lexicon.* Counts of words printed or spoken elsewhere (texts and titles that a vision model read, speech) and of
    words recognised on frames, words broken over two lines included. It is a table, not a broadcast.
 3. *Candidates.* Each distinct reading without evidence of its own (single, broken over a line end, or torn apart) is
-   expanded to the readings that undoing confusions, splits, merges and hyphens gives, and joined with the lexicon.
-   A candidate needs evidence of its own: a printed or spoken word, or at least three times as many frames.
-4. *Decoding.* Per record, dynamic programming over the token stream chooses the joint segmentation of least cost:
-   tokens as they are, corrected, cut in two, or merged with the next one with or without a hyphen.
+   joined with the lexicon on a canonical form in which all characters that are mistaken for each other are the same, so that
+   any number of confusions is found; an alignment then counts them. A reading that no word explains as a whole is looked up
+   in pieces: those at its ends, and those between them where the ends leave a gap. A piece or word needs evidence of its
+   own: a printed or spoken word, or at least three times as many frames.
+4. *Decoding.* Per record, dynamic programming over the stream of characters without line breaks chooses the joint
+   segmentation of least cost. Its edges are tokens as they are, words with their confusions, words broken by a hyphen or
+   torn into several tokens, and pieces of tokens that ran together; frequent words, and words that the record holds
+   elsewhere, cost a little less. Cost is the only limit.
 5. *Paragraphs.* A second dynamic programme places paragraph boundaries between sentences, weighing even lengths
    against the words that neighbouring sentences share.
 
@@ -24,13 +28,14 @@ records); an empty table gives no rows.
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aula.session import cut_lineage
@@ -120,7 +125,7 @@ def layout(tokens: list[str]) -> dict[int, str]:
         out.update(dict.fromkeys(range(i), "page"))
     j = i
     inner: range = range(0)
-    while j < n and j - i < 12:
+    while j < n:
         k = _page_at(tokens, j, 1) if j > i and not (_NUMBER.fullmatch(tokens[j]) and j + 1 < n and not _title_like(tokens[j + 1]) and tokens[j + 1] not in ("of", "0f")) else 0
         if k and j - i >= 2 and (j + k >= n or _title_like(tokens[j + k])):
             inner = range(j, j + k)
@@ -181,107 +186,153 @@ def readings(tokens: list[str], labels: dict[int, str], confidences) -> Iterator
         w = normal(t)
         if _eligible(w):
             yield i, w
-        if sure is not None and nxt[:1].islower() and t[-1:].isalpha() and any(x is not None and 0 <= x < GLUE_CONFIDENCE for x in sure[i : i + 2]):
-            glued = w + GLUED + normal(nxt)
+        k, glued = i, w
+        while sure is not None and _torn(tokens, k, labels, sure) and len(glued) < MOST_LENGTH:
+            k += 1
+            glued += GLUED + normal(tokens[k])
             if _eligible(glued.replace(GLUED, "")):
                 yield i, glued
 
 
+def _torn(tokens: list[str], i: int, labels: dict[int, str], sure) -> bool:
+    """Whether token i may go on in the next one."""
+    if i + 1 >= len(tokens) or i + 1 in labels:
+        return False
+    return tokens[i + 1][:1].islower() and tokens[i][-1:].isalpha() and any(x is not None and 0 <= x < GLUE_CONFIDENCE for x in sure[i : i + 2])
+
+
 @lru_cache(1 << 16)
 def _eligible(w: str) -> bool:
     return LEAST_LENGTH <= len(w) <= MOST_LENGTH and _WORD.fullmatch(w) is not None
 
 
-def undo(word: str, most: int) -> dict[str, int]:
-    """Words from which up to ``most`` confusions lead to ``word``, with their number."""
-    spots = [(i, i + k, p) for i in range(len(word)) for k in (1, 2) for p in CONFUSIONS.get(word[i : i + k], ()) if i + k <= len(word)]
-    out: dict[str, int] = {}
-    for n in range(1, most + 1):
-        if n > 2 and len(spots) > 14:
-            spots = [s for s in spots if word[s[0]].isdigit()] or spots[:14]
-        for chosen in itertools.combinations(spots, n):
-            if any(a[1] > b[0] for a, b in itertools.pairwise(chosen)):
-                continue
-            made, at = [], 0
-            for a, b, p in chosen:
-                made += [word[at:a], p]
-                at = b
-            out.setdefault("".join([*made, word[at:]]), n)
+def canonical(word: str) -> str:
+    """Equal for words that confusions lead into each other."""
+    out = word.translate(_CANONICAL)
+    for x, y in LONGER:
+        out = out.replace(x, y)
     return out
 
 
-def expand_reading(source: str) -> Iterator[tuple[str, tuple[str, ...], float]]:
-    """(printed form, words that need evidence, cost) for a reading."""
-    if JOINED in source or GLUED in source:
-        left, right = re.split(r"[|+]", source, maxsplit=1)
-        whole = left + right
-        yield whole, (whole,), 0.0
-        if JOINED in source:
-            yield f"{left}-{right}", (f"{left}-{right}",), 0.1
-            for w, n in undo(whole, 2).items():
-                yield w, (w,), float(n)
-        return
-    digits = any(c.isdigit() for c in source)
-    for w, n in undo(source, 3 if digits else 2).items():
-        yield w, (w,), float(n)
-    if len(source) >= 8 and not digits:
-        for i in range(3, len(source) - 2):
-            yield f"{source[:i]} {source[i:]}", (source[:i], source[i:]), 2.5
-    if digits and not _CODE.fullmatch(source):
-        plain = "".join(CONFUSIONS[c][0] if c.isdigit() else c for c in source)
-        yield plain, (), 9.0
-
-
-def decode(tokens: list[str], labels: dict[int, str], found: dict[int, list[tuple[str, str | None, float]]]) -> tuple[list[tuple[int, str]], list[str]]:
-    """Noisy lines (from 0) and the printed words of one record. ``found``: per position (reading, printed or None, cost)
-    for readings without evidence of their own, and all broken or torn words."""
+#: Characters that stand for another one of the same width, and those that are written with several.
+SAME, AS = "rl1ea0th68v529", "iiicoofbbbyszg"
+LONGER = (("n", "ii"), ("u", "ii"), ("m", "iii"), ("w", "yy"), ("d", "ci"))
+_CANONICAL = str.maketrans(SAME, AS)
+
+
+def canonical_column(c: Column) -> Column:
+    out = F.translate(c, SAME, AS)
+    for x, y in LONGER:
+        out = F.replace(out, F.lit(x), F.lit(y))
+    return out
+
+
+@lru_cache(1 << 16)
+def confusions(read: str, printed: str) -> tuple[int, int] | None:
+    """Least number of confusions by which ``printed`` is read as ``read``, and how many of them put letters for letters."""
+    best: dict[tuple[int, int], tuple[int, int]] = {(0, 0): (0, 0)}
+    n, m = len(read), len(printed)
+    for i in range(n):
+        for j in range(m):
+            now = best.get((i, j))
+            if now is None:
+                continue
+            steps = [(1, 1, 0, 0)] if read[i] == printed[j] else []
+            for k in (1, 2):
+                seen = read[i : i + k]
+                steps += [(k, len(p), 1, not seen.isdigit()) for p in CONFUSIONS.get(seen, ()) if len(seen) == k and printed.startswith(p, j)]
+            for x, y, c, letters in steps:
+                to, cost = (i + x, j + y), (now[0] + c, now[1] + letters)
+                if to not in best or cost < best[to]:
+                    best[to] = cost
+    return best.get((n, m))
+
+
+def spelling_cost(n: int, letters: int, length: int) -> float:
+    """One for each confusion, and four more for each letter read for another beyond two or a quarter of the word."""
+    return n + 4.0 * max(0, letters - max(2, length // 4))
+
+
+def piece_cost(n: int, length: int) -> float:
+    """What a word costs that ran together with others: half a missing space, its confusions, and its shortness."""
+    return 1.25 + 3.0 * n + 2.0 * max(0, 5 - length)
+
+
+#: What a word may cost at most to be better than a reading without evidence.
+MOST_COST = 10.0
+LEAST_PIECE = 3
+
+
+def decode(tokens: list[str], labels: dict[int, str], found: dict[int, list[tuple[str, list[tuple[int, int, str, float, float]]]]]) -> tuple[list[tuple[int, str]], list[str]]:
+    """Noisy lines (from 0) and the printed words of one record. ``found``: per position readings without evidence of their
+    own, and all broken or torn words, each with its words (from, to, word, cost, evidence) over the reading's letters."""
     n = len(tokens)
-    if not any(JOINED in o[0] or o[1] is not None for own in found.values() for o in own):  # nothing to choose from
+    if not any(JOINED in source or words for own in found.values() for source, words in own):  # nothing to choose from
         return sorted(labels.items()), [t for i, t in enumerate(tokens) if i not in labels]
-    best: list[float] = [0.0] + [float("inf")] * n
-    back: list[tuple] = [()] * (n + 1)
+    here = {normal(t) for t in tokens}
+    begin = list(itertools.accumulate((len(t) + 1 for t in tokens), initial=0))
+    best: dict[int, float] = {0: 0.0}
+    back: dict[int, tuple] = {}
+    inner: dict[int, list[tuple]] = {}
+
+    def edge(start: int, end: int, cost: float, what: tuple) -> None:
+        if best[start] + cost < best.get(end, float("inf")):
+            best[end], back[end] = best[start] + cost, (start, *what)
 
-    def edge(i: int, j: int, cost: float, what: tuple) -> None:
-        if best[i] + cost < best[j]:
-            best[j], back[j] = best[i] + cost, (i, *what)
+    def worth(word: str, evidence: float) -> float:
+        return 0.01 * (10 - min(10.0, math.log1p(evidence))) - (0.1 if word in here else 0.0)
 
     for i, t in enumerate(tokens):
-        options = found.get(i, ())
-        single = next((o for o in options if JOINED not in o[0] and GLUED not in o[0]), None)
-        joined = next((o for o in options if JOINED in o[0]), None)
-        glued = next((o for o in options if GLUED in o[0]), None)
-        if single is None:
-            edge(i, i + 1, 4.0 if joined else 0.0, ("keep", t))
-        elif single[1] is None:
-            edge(i, i + 1, 3.0, ("keep", t))
-        else:
-            edge(i, i + 1, 1.0 + 0.2 * single[2], ("fix", single[1]))
-            edge(i, i + 1, 3.0, ("keep", t))
-        if joined and i + 2 <= n:
-            left, right = joined[0].split(JOINED)
-            edge(i, i + 2, 1.5 if joined[1] is None else 0.2 + 0.2 * joined[2], ("join", joined[1] or left + right, left, right))
-        if glued and glued[1] is not None and i + 2 <= n and (single or found.get(i + 1)):
-            edge(i, i + 2, 2.0 + 0.2 * glued[2], ("glue", glued[1]))
-    noisy, words = [], []
-    j = n
+        options = dict(found.get(i, ()))
+        single = next((s for s in options if JOINED not in s and GLUED not in s), None)
+        joined = next((s for s in options if JOINED in s), None)
+        edge(begin[i], begin[i + 1], 3.0 if single is not None else 4.0 if joined else 0.0, ("keep", i, t))
+        for source, words in options.items():
+            if source == single:
+                inner.clear()
+                for word in words:
+                    inner.setdefault(word[0], []).append(word)
+                for at in sorted(inner):
+                    if begin[i] + at not in best:
+                        continue
+                    for _, to, word, cost, evidence in inner[at]:
+                        whole = to - at == len(source)
+                        end = begin[i + 1] if to == len(source) else begin[i] + to
+                        edge(begin[i] + at, end, (0.2 * cost + worth(word, evidence) if whole else 0.2 * cost) + (1.0 if at == 0 else 0.0), ("fix", i, word))
+            elif source == joined:
+                left, right = source.split(JOINED)
+                edge(begin[i], begin[i + 2], 1.5, ("join", i, left + right, left, right))
+                for _, _, word, cost, evidence in words:
+                    edge(begin[i], begin[i + 2], 0.2 + 0.2 * cost + worth(word, evidence), ("join", i, word, left, right))
+            else:
+                k = source.count(GLUED) + 1
+                if any(s == normal(tokens[j]) for j in range(i, i + k) for s, _ in found.get(j, ())):
+                    for _, _, word, cost, evidence in words:
+                        edge(begin[i], begin[i + k], 2.0 + 0.2 * cost + worth(word, evidence), ("glue", i, word, k))
+    noisy: list[tuple[int, str]] = []
+    words: list[tuple[int, int, str]] = []
+    pieces: dict[int, list[str]] = {}
+    j = begin[n]
     while j:
-        i, kind, *what = back[j]
+        start, kind, i, word, *more = back[j]
         if kind == "keep":
-            words.append((i, tokens[i], tokens[i]))
+            words.append((start, i, word))
         elif kind == "fix":
-            words.append((i, _dress(tokens[i], what[0]), tokens[i]))
-            noisy.append((i, "misread"))
+            pieces.setdefault(i, []).append(word)
+            if start == begin[i]:
+                words.append((start, i, _dress(tokens[i], " ".join(reversed(pieces[i])))))
+                noisy.append((i, "misread"))
         elif kind == "join":
-            printed, left, right = what
-            words.append((i, _dress(tokens[i][:-1] + tokens[i + 1], printed), tokens[i + 1]))
+            left, right = more
+            words.append((start, i, _dress(tokens[i][:-1] + tokens[i + 1], word)))
             noisy.append((i, "hyphen"))
-            if not printed.endswith(right):
+            if not word.endswith(right):
                 noisy.append((i + 1, "misread"))
         else:
-            words.append((i, _dress(tokens[i] + tokens[i + 1], what[0]), tokens[i + 1]))
-        j = i
+            words.append((start, i, _dress("".join(tokens[i : i + more[0]]), word)))
+        j = start
     noisy = [(i, labels.get(i, kind)) for i, kind in noisy if i not in labels] + list(labels.items())
-    return sorted(noisy), [w for i, w, _ in reversed(words) if i not in labels]
+    return sorted(noisy), [w for _, i, w in sorted(words) if i not in labels]
 
 
 def _dress(token: str, word: str) -> str:
@@ -366,19 +417,94 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["source", "frames", "printed", "parts", "cost", "word"]
-    types = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.string())
+LOOKUP = "source string, frames bigint, at int, to int, letters string, canon string"
+WORDS = "source string, at int, to int, word string, cost double, evidence double"
+
+
+def _rows(out: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*out) if out else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [f for f, _ in fields])
+
+
+def _letters(source: str) -> str:
+    return source.replace(JOINED, "").replace(GLUED, "")
+
+
+def _wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Readings as a whole, and broken words with the hyphen as their own."""
+    for b in batches:
+        out = []
+        for source, frames in zip(_texts(b, 0), _texts(b, 1)):
+            forms = [_letters(source)] + ([source.replace(JOINED, "-")] if JOINED in source else [])
+            out += [(source, frames, 0, len(forms[0]), f, canonical(f)) for f in forms]
+        yield _rows(out, LOOKUP)
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lexicon words of an equal canonical form: those that confusions, if any, explain, with their cost."""
+    for b in batches:
+        out = []
+        for source, frames, at, to, letters, _, word, printed, seen in zip(*(_texts(b, i) for i in range(9))):
+            broken, whole = JOINED in source, to - at == len(_letters(source))
+            if not (printed > 0 or seen >= 3 * frames or broken) or (word == letters and whole and not broken and GLUED not in source):
+                continue
+            n = confusions(letters, word)
+            if n is None or (n[0] and not (printed > 0 or seen >= 3 * frames)):
+                continue
+            if GLUED in source and n[0]:
+                continue
+            cost = spelling_cost(*n, len(word)) + (0.1 if "-" in letters and broken else 0.0) if whole else piece_cost(n[0], len(word))
+            if cost < MOST_COST:
+                out.append((source, at, to, word, cost, 3.0 * printed + seen))
+        yield _rows(out, WORDS)
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces at both ends of readings of letters only, long enough for two words."""
+    for b in batches:
+        out = []
+        for source, frames in zip(_texts(b, 0), _texts(b, 1)):
+            n = len(source)
+            if n >= 2 * LEAST_PIECE and source.isalpha():
+                spans = [(0, k) for k in range(LEAST_PIECE, n - LEAST_PIECE + 1)] + [(k, n) for k in range(LEAST_PIECE, n - LEAST_PIECE + 1)]
+                out += [(source, frames, i, k, source[i:k], canonical(source[i:k])) for i, k in spans]
+        yield _rows(out, LOOKUP)
+
+
+def _middles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces between known ones at the ends of a reading."""
     for b in batches:
-        for start in range(0, b.num_rows, 500):
-            part = b.slice(start, 500)
-            out: list[list] = [[] for _ in names]
-            for source, frames in zip(_texts(part, 0), _texts(part, 1)):
-                for printed, need, cost in expand_reading(source):
-                    for w in need or ("",):
-                        for column, v in zip(out, (source, frames, printed, len(need), cost, w)):
-                            column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names)
+        out = []
+        for source, frames, firsts, lasts in zip(*(_texts(b, i) for i in range(4))):
+            low, high = min(firsts), max(lasts)
+            spans = [(i, k) for i in range(low, high - LEAST_PIECE + 1) for k in range(i + LEAST_PIECE, high + 1)]
+            out += [(source, frames, i, k, source[i:k], canonical(source[i:k])) for i, k in spans]
+        yield _rows(out, LOOKUP)
+
+
+def _lattices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces that lie on a way from the beginning of their reading to its end."""
+    for b in batches:
+        out = []
+        for source, pieces in zip(_texts(b, 0), _texts(b, 1)):
+            ahead, behind = {0}, {len(source)}
+            for x in sorted(pieces, key=lambda x: x["at"]):
+                if x["at"] in ahead:
+                    ahead.add(x["to"])
+            for x in sorted(pieces, key=lambda x: -x["to"]):
+                if x["to"] in behind:
+                    behind.add(x["at"])
+            out += [(source, x["at"], x["to"], x["word"], x["cost"], x["evidence"]) for x in pieces if x["at"] in ahead and x["to"] in behind]
+        yield _rows(out, WORDS)
+
+
+def _plain_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Letters in place of digits, for readings that are no code; the last resort, without evidence."""
+    for b in batches:
+        mixed = [x for x in _texts(b, 0) if JOINED not in x and GLUED not in x and any(c.isdigit() for c in x) and not _CODE.fullmatch(x)]
+        yield _rows([(x, 0, len(x), "".join(CONFUSIONS.get(c, (c,))[0] if c.isdigit() else c for c in x), 9.0, 0.0) for x in mixed], WORDS)
 
 
 def lexicon(spread: DataFrame, plain: list[DataFrame]) -> DataFrame:
@@ -391,28 +517,33 @@ def lexicon(spread: DataFrame, plain: list[DataFrame]) -> DataFrame:
 
 
 def decisions(spread: DataFrame, words: DataFrame) -> DataFrame:
-    """``source, printed, cost`` for every distinct reading without evidence of its own (printed is NULL where no
-    candidate has evidence), and for all broken or torn words."""
+    """``source, words array<struct<at, to, word, cost, evidence>>`` for every distinct reading without evidence of its own,
+    and for all broken or torn words."""
     types = spread.groupBy("source").agg(F.countDistinct("frame_id").alias("seen"))
     single = types.join(words.withColumnRenamed("word", "source"), "source", "left")
-    doubtful = single.filter(F.col("source").rlike(r"[|+]") | (F.coalesce("printed", F.lit(0)) == 0)).select("source", F.coalesce("frames", "seen").alias("frames"))
-    spelled = doubtful.mapInArrow(_candidates, "source string, frames bigint, printed string, parts int, cost double, word string")
-    evidence = words.filter((F.col("printed") > 0) | (F.col("frames") >= LEAST_FRAMES)).select("word", F.col("printed").alias("n_printed"), F.col("frames").alias("n_frames"))
-    joined = spelled.join(evidence, "word", "left")
-    enough = (F.col("n_printed") > 0) | F.col("source").contains(JOINED) & (F.col("cost") < 1) & F.col("n_frames").isNotNull() | (F.col("n_frames") >= 3 * F.col("frames"))
-    strong = joined.filter((F.col("parts") == 0) | F.coalesce(enough, F.lit(False)))
-    whole = strong.groupBy("source", "printed").agg(
-        F.count("*").alias("n"), F.max("parts").alias("parts"), F.min("cost").alias("cost"), F.min(3 * F.coalesce("n_printed", F.lit(0)) + F.coalesce("n_frames", F.lit(0))).alias("weight")
-    )
-    best = whole.filter((F.col("parts") == 0) | (F.col("n") >= F.col("parts"))).groupBy("source").agg(F.min(F.struct("cost", (-F.col("weight")).alias("w"), "printed")).alias("b"))
-    return doubtful.join(best, "source", "left").select("source", F.col("b.printed").alias("printed"), F.col("b.cost").alias("cost"))
+    doubtful = cut_lineage(single.filter(F.col("source").rlike(r"[|+]") | (F.coalesce("printed", F.lit(0)) == 0)).select("source", F.coalesce("frames", "seen").alias("frames")), "doubtful")
+    usable = words.filter((F.col("printed") > 0) | (F.col("frames") >= LEAST_FRAMES)).select("word", "printed", F.col("frames").alias("n_frames"), canonical_column(F.col("word")).alias("canon"))
+
+    def looked_up(lookups: DataFrame) -> DataFrame:
+        return lookups.join(usable, "canon").select("source", "frames", "at", "to", "letters", "canon", "word", "printed", "n_frames").mapInArrow(_checked, WORDS)
+
+    wholes = cut_lineage(looked_up(doubtful.mapInArrow(_wholes, LOOKUP)).unionByName(doubtful.mapInArrow(_plain_digits, WORDS)), "wholes")
+    open_ = doubtful.filter(~F.col("source").rlike(r"[|+]")).join(wholes.select("source").distinct(), "source", "left_anti")
+    ends = cut_lineage(looked_up(open_.mapInArrow(_ends, LOOKUP)), "ends")
+    gaps = ends.groupBy("source").agg(F.collect_set(F.when(F.col("at") == 0, F.col("to"))).alias("firsts"), F.collect_set(F.when(F.col("at") > 0, F.col("at"))).alias("lasts"))
+    gaps = gaps.filter((F.size("firsts") > 0) & (F.size("lasts") > 0)).filter(F.array_max("lasts") - F.array_min("firsts") >= LEAST_PIECE)
+    middles = looked_up(gaps.join(doubtful, "source").select("source", "frames", "firsts", "lasts").mapInArrow(_middles, LOOKUP))
+    whole_row = F.struct("at", "to", "word", "cost", "evidence")
+    pieces = ends.unionByName(middles).groupBy("source").agg(F.collect_list(whole_row).alias("pieces")).filter(F.size("pieces") > 1).mapInArrow(_lattices, WORDS)
+    found = wholes.unionByName(pieces).groupBy("source").agg(F.collect_list(whole_row).alias("words"))
+    return doubtful.select("source").join(found, "source", "left")
 
 
 def repair(frames: DataFrame, plain: list[DataFrame]) -> DataFrame:
     """``frame_id, lines array<struct<line_no, noise_kind>>, cleaned_text`` of ``frames(frame_id, text, word_confidences)``."""
     spread = cut_lineage(frames.select("frame_id", "text", "word_confidences").mapInArrow(_spread_readings, "frame_id bigint, line int, source string"), "readings")
     words = cut_lineage(lexicon(spread, plain), "lexicon")
-    found = spread.join(decisions(spread, words), "source").groupBy("frame_id").agg(F.collect_list(F.struct("line", "source", "printed", "cost")).alias("found"))
+    found = spread.join(decisions(spread, words), "source").groupBy("frame_id").agg(F.collect_list(F.struct("line", "source", "words")).alias("found"))
     pages = frames.select("frame_id", "text").join(found, "frame_id", "left")
     schema = "frame_id bigint, lines array<struct<line_no:int,noise_kind:string>>, cleaned_text string"
     line_type = pa.list_(pa.struct([("line_no", pa.int32()), ("noise_kind", pa.string())]))
@@ -428,7 +559,7 @@ def repair(frames: DataFrame, plain: list[DataFrame]) -> DataFrame:
                 tokens = text.split("\n")
                 options: dict[int, list] = {}
                 for x in given or ():
-                    options.setdefault(x["line"], []).append((x["source"], x["printed"], x["cost"] or 0.0))
+                    options.setdefault(x["line"], []).append((x["source"], [tuple(w.values()) for w in x["words"] or ()]))
                 noisy, printed = decode(tokens, layout(tokens), options)
                 lines.append([{"line_no": i + 1, "noise_kind": kind} for i, kind in noisy])
                 texts.append(paragraphs(printed))
