@@ -13,6 +13,7 @@ from aula.operators.cells import with_last, with_next
 from aula.operators.keyframes import sample_times, select_keyframes
 from aula.operators.ocr_clean import candidates, clean, counters, split_reply
 from aula.operators.evaluation import hop_metrics, metrics
+from aula.session import cut_lineage
 from pyspark.sql import functions as F
 
 SEG = "segment_id bigint, lecture_id string, start_timestamp double, end_timestamp double, text string"
@@ -186,12 +187,13 @@ def test_checks_find_what_was_broken(spark):
     s = [(1, "a", 5.0, 8.0, "tides rise"), (2, "a", 20.0, 30.0, "twice each day"), (3, "a", 105.0, 110.0, "moon and sun")]
     f = frames(spark, [0.0, 100.0], ["A", "B"]).withColumn("description", F.lit("d")).withColumn("content_type", F.lit("chart")).withColumn("cleaned_text", F.lit(""))
     good = seg(spark, s)
-    al = tl.align(good, f)
-    obs = tl.knowledge_objects(f, al)
-    chunks = ck.build_chunks(al, obs)
+    al = cut_lineage(tl.align(good, f), "aligned")
+    obs = cut_lineage(tl.knowledge_objects(f, al), "objects")
+    chunks = cut_lineage(ck.build_chunks(al, obs), "chunks")
 
     def failing(segments=good, shots=f, objs=obs, aligned=al, ch=chunks):
-        rows = v.union([v.check_transcript(segments), v.check_keyframes(shots, segments), v.check_objects(objs, shots, segments), v.check_alignment(aligned, segments, objs), v.check_chunks(ch, objs, aligned)])
+        known = v.lectures_of(segments, shots, objs, aligned, ch)
+        rows = v.union([v.check_transcript(segments, known), v.check_keyframes(shots, known), v.check_objects(objs, shots, segments), v.check_alignment(aligned, segments, objs), v.check_chunks(ch, objs, aligned, known)])
         return {r.check for r in rows.filter("status = 'FAIL'").collect()}
 
     assert failing() == set()
@@ -202,6 +204,25 @@ def test_checks_find_what_was_broken(spark):
     assert failing(ch=chunks.withColumn("next_chunk_id", F.lit("x"))) == {"chunks point at the next one"}
     assert failing(ch=chunks.withColumn("slide_timestamps", F.array(F.lit(0.0)))) >= {"every slide is in some chunk"}
     assert failing(ch=chunks.withColumn("text", F.lit("other words"))) == {"all speech is in some chunk"}
+    assert failing(ch=chunks.limit(0)) == {"chunks exist"}
+    assert "one object per keyframe" in failing(objs=obs.limit(0)) and "no speech lost or duplicated" in failing(objs=obs.limit(0))
+    assert "transcript has speech" in failing(segments=good.limit(0)) and "keyframes exist" in failing(shots=f.limit(0))
+    assert "every object names its lecture" in failing(objs=obs.withColumn("image_path", F.lit("d/b/keyframes/frame_0.00.jpg")))
+    assert [r.second for r in v.silent_slides(obs.withColumn("transcript", F.lit(" "))).orderBy("second").collect()] == [0, 100]
+    images = f.select("lecture_id", F.col("image_path").alias("path"), F.col("keyframe_timestamp").alias("second"))
+    named = lambda im: {r.check for r in v.check_files(im, f).filter("status = 'FAIL'").collect()}
+    assert named(images) == set() and named(images.limit(1)) == {"keyframe files match the metadata", "every image path exists"}
+    assert named(images.union(images.limit(1))) == {"keyframe files match the metadata"}
+
+
+def test_lost_speech_against_all_pairs(spark):
+    rnd = random.Random(9)
+    some = lambda k: [rnd.choice([None, round(rnd.uniform(0, 50), 1)]) if rnd.random() < 0.1 else round(rnd.uniform(0, 50), 1) for _ in range(k)]
+    speech = [(i, rnd.choice("ab"), *some(2), rnd.choice(["x", "y", ""])) for i in range(150)]
+    chunks = [(rnd.choice("ab"), *some(2), rnd.choice(["x y", "x", None])) for _ in range(25)] + [("a", 0.0, 1e9, "x")]
+    want = {i for i, l, s, e, t in speech if not any(l == m and None not in (s, e, a, b, h) and a <= s and e <= b and t in h for m, a, b, h in chunks)}
+    got = v.lost_speech(spark.createDataFrame(speech, "segment_id bigint, lecture_id string, s double, e double, said string"), spark.createDataFrame(chunks, "lecture_id string, cs double, ce double, held string"), size=7.0, most_cells=3)
+    assert {r.segment_id for r in got.collect()} == want
 
 
 def test_ask(spark):
