@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Key of each lecture table; a redelivered row repeats key and content with a later ``ingested_at``.
 TABLE_KEYS = {
@@ -23,7 +24,7 @@ def read_records(spark: SparkSession, directory: str, name: str, *columns: str)
     """One row per record: redelivered rows removed by key. Only ``columns`` are read where they are given.
 
     A redelivered row equals the first one in all but ``ingested_at``, which therefore is left out.
-    Rows whose key is NULL count as one record.
+    Rows whose key is NULL cannot be told apart and are all kept.
     """
     df = read_table(spark, directory, name)
     key = TABLE_KEYS.get(name)
@@ -31,4 +32,5 @@ def read_records(spark: SparkSession, directory: str, name: str, *columns: str)
         return df.select(*columns) if columns else df
     wanted = [c for c in (columns or df.columns) if c != "ingested_at"]
     df = df.select(*dict.fromkeys([key, *wanted]))
-    return df.dropDuplicates([key]).select(*wanted)
+    keyed = df.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    return keyed.unionByName(df.filter(F.col(key).isNull())).select(*wanted)

@@ -191,23 +191,26 @@ def test_checks_find_what_was_broken(spark):
     obs = cut_lineage(tl.knowledge_objects(f, al), "objects")
     chunks = cut_lineage(ck.build_chunks(al, obs), "chunks")
 
-    def failing(segments=good, shots=f, objs=obs, aligned=al, ch=chunks):
+    def failing(only=None, segments=good, shots=f, objs=obs, aligned=al, ch=chunks):
         known = v.lectures_of(segments, shots, objs, aligned, ch)
-        rows = v.union([v.check_transcript(segments, known), v.check_keyframes(shots, known), v.check_objects(objs, shots, segments), v.check_alignment(aligned, segments, objs), v.check_chunks(ch, objs, aligned, known)])
-        return {r.check for r in rows.filter("status = 'FAIL'").collect()}
+        checks = {
+            "t": lambda: v.check_transcript(segments, known), "k": lambda: v.check_keyframes(shots, known), "o": lambda: v.check_objects(objs, shots, segments),
+            "a": lambda: v.check_alignment(aligned, segments, objs), "c": lambda: v.check_chunks(ch, objs, aligned, known),
+        }
+        return {r.check for r in v.union([checks[x]() for x in only or checks]).filter("status = 'FAIL'").collect()}
 
     assert failing() == set()
-    assert failing(segments=seg(spark, [(1, "a", 5.0, 4.0, "tides rise"), *s[1:]])) == {"transcript ends after it starts"}
-    assert "vision has a description" in failing(shots=f.withColumn("description", F.lit(None).cast("string")))
-    assert {"no speech lost or duplicated"} <= failing(objs=obs.withColumn("transcript", F.lit("")))
-    assert failing(aligned=al.withColumn("keyframe_timestamp", F.lit(0.0))) == {"alignment agrees with the slide spans"}
-    assert failing(ch=chunks.withColumn("next_chunk_id", F.lit("x"))) == {"chunks point at the next one"}
-    assert failing(ch=chunks.withColumn("slide_timestamps", F.array(F.lit(0.0)))) >= {"every slide is in some chunk"}
-    assert failing(ch=chunks.withColumn("text", F.lit("other words"))) == {"all speech is in some chunk"}
-    assert failing(ch=chunks.limit(0)) == {"chunks exist"}
-    assert "one object per keyframe" in failing(objs=obs.limit(0)) and "no speech lost or duplicated" in failing(objs=obs.limit(0))
-    assert "transcript has speech" in failing(segments=good.limit(0)) and "keyframes exist" in failing(shots=f.limit(0))
-    assert "every object names its lecture" in failing(objs=obs.withColumn("image_path", F.lit("d/b/keyframes/frame_0.00.jpg")))
+    assert failing("t", segments=seg(spark, [(1, "a", 5.0, 4.0, "tides rise"), *s[1:]])) == {"transcript ends after it starts"}
+    assert "vision has a description" in failing("k", shots=f.withColumn("description", F.lit(None).cast("string")))
+    assert failing("o", objs=obs.withColumn("transcript", F.lit(""))) == {"no speech lost or duplicated"}
+    assert failing("a", aligned=al.withColumn("keyframe_timestamp", F.lit(0.0))) == {"alignment agrees with the slide spans"}
+    assert failing("c", ch=chunks.withColumn("next_chunk_id", F.lit("x"))) == {"chunks point at the next one"}
+    assert failing("c", ch=chunks.withColumn("slide_timestamps", F.array(F.lit(0.0)))) >= {"every slide is in some chunk"}
+    assert failing("c", ch=chunks.withColumn("text", F.lit("other words"))) == {"all speech is in some chunk"}
+    assert failing("c", ch=chunks.limit(0)) == {"chunks exist"}
+    assert failing("o", objs=obs.limit(0)) == {"one object per keyframe", "no speech lost or duplicated"}
+    assert failing("t", segments=good.limit(0)) == {"transcript has speech"} and failing("k", shots=f.limit(0)) == {"keyframes exist"}
+    assert failing("o", objs=obs.withColumn("image_path", F.lit("d/b/keyframes/frame_0.00.jpg"))) == {"every object names its lecture"}
     assert [r.second for r in v.silent_slides(obs.withColumn("transcript", F.lit(" "))).orderBy("second").collect()] == [0, 100]
     images = f.select("lecture_id", F.col("image_path").alias("path"), F.col("keyframe_timestamp").alias("second"))
     named = lambda im: {r.check for r in v.check_files(im, f).filter("status = 'FAIL'").collect()}
