@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from aula.functions.text import frame_timestamp
 
+# Kinds of video files.
 VIDEO_TYPES = ("mp4", "mkv", "mov", "avi", "webm")
 
 
@@ -21,7 +22,7 @@ def read_json_list(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Replaces ``path`` by line-wise JSON; readers see the old or the new files."""
+    """Replaces ``path`` by line-wise JSON; the old files go before the new ones are there."""
     df.write.mode("overwrite").json(path)
 
 

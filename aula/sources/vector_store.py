@@ -7,13 +7,14 @@ layout (signals and size) is stored beside the data; writing another layout is r
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aula.functions.text import model_slug, point_id
-from aula.session import cut_lineage
+from aula.session import cut_lineage, exists, remove
+from aula.sources.providers import Provider
+from aula.sources.vector_cache import VectorCache
 
 
 def collection_name(spark: SparkSession, model: str) -> str:
@@ -21,18 +22,18 @@ def collection_name(spark: SparkSession, model: str) -> str:
 
 
 class VectorStore:
-    """``root``: a folder all executors share (a local path here; the layout file is written by the driver)."""
+    """``root``: a folder all executors share, on any file system the cluster knows."""
 
     def __init__(self, spark: SparkSession, root: str, collection: str) -> None:
-        self.spark, self.at = spark, Path(root) / collection
+        self.spark, self.at = spark, f"{str(root).rstrip('/')}/{collection}"
 
     @property
     def _data(self) -> str:
-        return str(self.at / "points")
+        return f"{self.at}/points"
 
     def layout(self) -> dict | None:
-        file = self.at / "layout.json"
-        return json.loads(file.read_text()) if file.exists() else None
+        file = f"{self.at}/layout"
+        return json.loads(self.spark.read.text(file).collect()[0][0]) if exists(self.spark, f"{file}/_SUCCESS") else None  # one row
 
     def create(self, signals: list[str], size: int) -> None:
         """Nothing happens if the collection exists with this layout."""
@@ -43,14 +44,18 @@ class VectorStore:
             if found != wanted:
                 raise ValueError(f"the collection has layout {found}, not {wanted}")
             return
-        self.at.mkdir(parents=True, exist_ok=True)
-        (self.at / "layout.json").write_text(json.dumps(wanted))
+        self.spark.createDataFrame([(json.dumps(wanted),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.at}/layout")
 
     def _read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self._data) if any((self.at / "points").glob("lecture_id=*")) else None
-
-    def upsert(self, chunks: DataFrame, vectors: DataFrame) -> None:
-        """``vectors(chunk_id, signal, vector)``: every chunk needs one vector of the right size per signal."""
+        """None while there are no points; names of lectures are never read as numbers or dates."""
+        if not exists(self.spark, self._data) or not self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(self._data).select("path").limit(1).count():
+            return None
+        stored = self.spark.read.parquet(self._data)
+        return stored.withColumn("lecture_id", F.col("lecture_id").cast("string"))
+
+    def upsert(self, chunks: DataFrame, vectors: DataFrame, *, replace: bool = False) -> None:
+        """``vectors(chunk_id, signal, vector)``: every chunk needs one vector of the right size per signal. With
+        ``replace``, stored chunks of the same lectures that are not among ``chunks`` go."""
         layout = self.layout()
         if layout is None:
             raise ValueError("create the collection first")
@@ -60,7 +65,7 @@ class VectorStore:
             raise ValueError("chunks and vectors do not match")
         new = chunks.join(vectors, "chunk_id").withColumn("point_id", point_id(F.col("chunk_id")))
         old = self._read()
-        if old is not None:
+        if old is not None and not replace:
             touched = old.join(new.select("lecture_id").distinct(), "lecture_id", "left_semi")
             new = new.unionByName(touched.join(new.select("chunk_id").distinct(), "chunk_id", "left_anti"), allowMissingColumns=True)
         self._write(new)
@@ -69,9 +74,8 @@ class VectorStore:
         cut_lineage(rows, "points").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lecture_id").parquet(self._data)
 
     def delete_lecture(self, lecture: str) -> None:
-        import shutil
-
-        shutil.rmtree(self.at / "points" / f"lecture_id={lecture}", ignore_errors=True)
+        name = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(lecture)
+        remove(self.spark, f"{self._data}/lecture_id={name}")
 
     def count(self, lecture: str | None = None) -> int:
         old = self._read()
@@ -98,3 +102,30 @@ class VectorStore:
         self.delete_lecture(lecture)
         self.upsert(chunks, vectors)
         return True
+
+    def index_all(self, chunks: DataFrame, encoder: Provider, cache: VectorCache, signals: dict[str, str], *, force: bool = False) -> DataFrame:
+        """Encodes ``chunks(chunk_id, lecture_id, ...)`` for every signal (name and text column) and replaces their lectures.
+
+        Lectures with as many chunks stored already are skipped, unless forced. The size of the vectors is measured and
+        must be that of the collection, which is made if there is none. Returns ``lecture_id, n_chunks`` of what was indexed.
+        """
+        wanted = chunks.groupBy("lecture_id").agg(F.count("*").alias("n_chunks"))
+        old = self._read()
+        if old is not None and not force:
+            stored = old.groupBy("lecture_id").agg(F.countDistinct("chunk_id").alias("n_stored"))
+            wanted = wanted.join(stored, "lecture_id", "left").filter(~F.col("n_chunks").eqNullSafe(F.col("n_stored"))).drop("n_stored")
+        todo = cut_lineage(wanted, "todo")
+        rows = cut_lineage(chunks.join(todo.select("lecture_id"), "lecture_id", "left_semi"), "todo-chunks")
+        texts = {name: rows.select("chunk_id", F.coalesce(text, F.lit("")).alias("text")) for name, text in signals.items()}
+        for t in texts.values():
+            cache.fill(t, "text", encoder)
+        parts = [cache.look_up(t, "text").select("chunk_id", F.lit(name).alias("signal"), "vector") for name, t in texts.items()]
+        vectors = parts[0]
+        for p in parts[1:]:
+            vectors = vectors.unionByName(p)
+        vectors = cut_lineage(vectors, "vectors")
+        size = vectors.select(F.size("vector")).head(1)
+        if size:
+            self.create(list(signals), size[0][0])
+            self.upsert(rows, vectors, replace=True)
+        return todo

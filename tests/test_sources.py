@@ -49,7 +49,7 @@ def test_images_videos_and_results(spark, tmp_path):
 
 def test_vector_store(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path), collection_name(spark, "org/Model-X"))
-    assert store.at.name == "course_chunks__model-x" and store.count() == 0 and store.layout() is None
+    assert store.at.endswith("/course_chunks__model-x") and store.count() == 0 and store.layout() is None
     chunks = spark.createDataFrame([("a_0", "a", 0.0, "one"), ("a_9", "a", 9.0, "two"), ("b_0", "b", 0.0, "three")], "chunk_id string, lecture_id string, start_timestamp double, text string")
     vectors = chunks.selectExpr("chunk_id", "explode(array('full', 'speech')) AS signal").selectExpr("chunk_id", "signal", "array(1.0D, 0.0D) AS vector")
     with pytest.raises(ValueError):
@@ -123,3 +123,29 @@ def test_streams(spark, tmp_path):
     assert once.count() == rows.select("segment_id").distinct().count()
     hours = arrivals.run_to_memory(arrivals.counts_by_hour(arrivals.arrivals(spark, str(tmp_path / "in"), rows), late="9000 days"), "hours", str(tmp_path / "c2"), "complete")
     assert hours.agg({"n": "sum"}).collect()[0][0] == rows.count()
+
+
+def test_vector_cache_encodes_each_text_once(spark, tmp_path):
+    from aula.sources.vector_cache import VectorCache
+
+    cache = VectorCache(spark, str(tmp_path), "m", 9)
+    texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b"), (5, "")], "i int, t string")
+    assert cache.fill(texts, "t", providers.get("encoder", "hash")) == 3 and cache.fill(texts, "t", None) == 0
+    got = {r.i: r.vector for r in cache.encode(texts, "t", None).collect()}
+    assert got[1] == got[2] == providers.hash_vectors(["a"])[0] and got[3] is None and got[5] is not None
+    more = spark.createDataFrame([("c",), ("a",)], "t string")
+    assert cache.fill(more, "t", providers.get("encoder", "hash")) == 1
+    assert VectorCache(spark, str(tmp_path), "other", 9).missing(more, "t").count() == 2 and cache.fill(more.limit(0), "t", None) == 0
+
+
+def test_failing_inputs_have_no_result(spark):
+    def picky(batch):
+        if "bad" in batch:
+            raise ValueError("bad")
+        return [x.upper() for x in batch]
+
+    df = spark.createDataFrame([("a",), ("bad",), (None,), ("c",)], "x string").coalesce(1)
+    assert {r.x: r.y for r in providers.apply(df, "x", "y", picky, skip_errors=True).collect()} == {"a": "A", "bad": None, None: None, "c": "C"}
+    for kind in providers.KINDS:
+        if kind not in ("encoder", "pair"):
+            assert len(providers.get(kind, "echo")(["x/y.mp4"])) == 1
