@@ -5,7 +5,8 @@ Records are sets of terms; two are linked if they share at least ``threshold`` o
 Method: signature-coordinate inverted join. A record's signature has ``coordinates`` coordinates, each made of the
 minima of ``rows`` hash functions over its terms, so that two records of similarity s agree in a coordinate with
 probability s ** rows. Records are posted under their (coordinate, value) pairs, lists are joined with themselves and the
-collisions of every pair are counted; pairs that agree in ``matches`` coordinates or more are retained.
+collisions of every pair are counted; pairs that agree in ``matches`` coordinates or more are retained. A task reads its lists
+once, sorted, and pairs the entries of a batch of lists at once.
 
 *Prefix and skip.* Such a pair agrees in one of the first coordinates - matches + 1 places of either record in any global
 order; the order puts values of short (common) terms last. The other ``matches`` - 1 entries of a record are marked as
@@ -14,8 +15,8 @@ would have counted is added from the skipped values, of which every entry of a r
 *Long lists.* A list of more than ``long_list`` entries is not joined with itself. Its members are posted again under their
 rarest terms within the list, as many as must hold a shared one if the threshold is met, which is exact.
 
-Retained pairs are thinned by 64 single minima (four bits each, compared 16 at a time by bit operations) and then compared
-exactly on their terms. With the default parameters a pair of similarity 0.7 is missed with a probability of 3e-5
+Retained pairs, those of long lists excepted, are thinned by 64 single minima (four bits each, compared 16 at a time by bit
+operations); all are then compared exactly on their terms. With the default parameters a pair of similarity 0.7 is missed with a probability of 3e-5
 (0.75: 6e-8) for its coordinates and of 2e-6 for its minima.
 
 Records with equal term sets form a class; only classes are posted and compared, and members are looked up again
@@ -48,7 +49,13 @@ MATCHES = 2
 SKETCH_MATCHES = 30
 #: Entries of a list from which its members are posted under their rarest terms instead.
 LONG_LIST = 2000
-BLOCK_ROWS = 1000
+BLOCK_ROWS = 2000
+#: Terms whose hashes are compared at once.
+CACHED_TERMS = 500
+#: What stands for a list in an entry of a long one.
+LONG = -(1 << 20)
+#: Pairs of lists that leave a task at once.
+PAIR_ROWS = 1 << 16
 SEED = 20_240_901
 
 SKETCH = [f"s{i}" for i in range(4)]
@@ -66,10 +73,17 @@ class Signer:
 
     def terms(self, text: pa.Array, least: int):
         """Kept records, their distinct terms end to end with bounds, and the batch's dictionary with its hashes."""
-        flat, record = lines_as_terms(text)
-        coded = flat.dictionary_encode()
+        lists = pc.split_pattern(text, "\n")
+        lines = pc.list_flatten(lists).dictionary_encode()
+        coded, place = lines_as_terms(lines.dictionary)  # a line that recurs in the block is made a term once
+        coded = coded.dictionary_encode()
         size = max(len(coded.dictionary), 1)
-        pairs = np.unique(record.astype(np.int64) * size + coded.indices.to_numpy())
+        code_of = np.full(len(lines.dictionary), -1, np.int64)
+        code_of[place] = coded.indices.to_numpy()
+        code = code_of[lines.indices.to_numpy()]
+        there = code >= 0
+        pairs = np.sort(pc.list_parent_indices(lists).to_numpy().astype(np.int64)[there] * size + code[there])
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         rec, code = pairs // size, pairs % size
         own, n = np.unique(rec, return_counts=True)
         keep = np.repeat(n >= least, n)
@@ -89,7 +103,13 @@ class Signer:
             table = ((hashes[:, None] * self.factors[None, :functions]) >> np.uint64(32)).astype(np.uint32)
         short = (15 - np.clip(lengths - 3, 0, 15)).astype(np.uint32)
         table = (table & np.uint32(0xFFFFFFF0)) | short[:, None]
-        return np.minimum.reduceat(table[code], bounds[:-1], axis=0)
+        out = np.empty((len(bounds) - 1, functions), np.uint32)
+        at = 0
+        while at < len(out):  # as many records at a time as stay in the cache
+            to = max(int(np.searchsorted(bounds, bounds[at] + CACHED_TERMS, "right")) - 1, at + 1)
+            np.minimum.reduceat(table[code[bounds[at] : bounds[to]]], bounds[at:to] - bounds[at], axis=0, out=out[at:to])
+            at = to
+        return out
 
     def postings(self, minima: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Keys of the (coordinate, value) pairs of each record in the global order; the last matches - 1 are skipped."""
@@ -176,6 +196,87 @@ def _agreeing(a: str, b: str):
     return F.lit(16) - F.bit_count(spread)
 
 
+def list_pairs(lists: DataFrame, matches: int, long_list: int) -> DataFrame:
+    """``a, b, one, more``: a row for each list of ``lists(key, cls, t0 ...)`` in which a < b meet and one of them is not skipped,
+    with what their skipped values share. A list of more than ``long_list`` entries gives a row ``cls, key, LONG, 0`` of each entry instead.
+
+    Rows come sorted by key and class, so that a list is never held beyond ``long_list`` entries and a batch.
+    """
+
+    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole lists, each of ``long_list`` entries at most."""
+        key = rows[0]
+        _, at, n = np.unique(key, return_index=True, return_counts=True)
+        left = np.repeat(at + n, n) - np.arange(len(key)) - 1  # entries of the same list behind each
+        waiting, size = [], 0
+        here = np.flatnonzero(left > 0)
+        step = 1
+        while len(here):
+            x, y = rows[1:, here], rows[1:, here + step]
+            met = (x[1] & y[1] & 1) == 0
+            x, y = x[:, met], y[:, met]
+            more = np.zeros(x.shape[1], np.int64)
+            if matches > 1:
+                for t in x[1:]:
+                    for u in y[1:]:
+                        more += (t >> 1) == (u >> 1)
+            waiting.append((x[0], y[0], more))
+            size += len(more)
+            step += 1
+            here = here[left[here] >= step]
+            if size >= PAIR_ROWS or not len(here):
+                a, b, more = map(np.concatenate, zip(*waiting))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), np.int32)), pa.array(more.astype(np.int32))], ["a", "b", "one", "more"])
+                waiting, size = [], 0
+
+    def entries(rows: np.ndarray) -> pa.RecordBatch:
+        n = rows.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(rows[1]), pa.array(rows[0]), pa.array(np.full(n, LONG, np.int32)), pa.array(np.zeros(n, np.int32))], ["a", "b", "one", "more"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last list so far, which the next batch may go on with
+        long_key = None
+        last = None
+        for b in batches:
+            rows = np.stack([c.to_numpy() for c in b.columns])
+            if not rows.shape[1]:
+                continue
+            # copies that different tasks posted lie together
+            new = np.ones(rows.shape[1], bool)
+            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+            new[0] = last is None or (rows[0, 0], rows[1, 0]) != last
+            last = (rows[0, -1], rows[1, -1])
+            rows = rows[:, new]
+            if long_key is not None:
+                n = int(np.searchsorted(rows[0], long_key, "right"))
+                if n:
+                    yield entries(rows[:, :n])
+                rows = rows[:, n:]
+            if held is not None:
+                rows = np.concatenate([held, rows], axis=1)
+            held = None
+            if not rows.shape[1]:
+                continue
+            long_key = None
+            _, at, n = np.unique(rows[0], return_index=True, return_counts=True)
+            size = np.repeat(n, n)
+            ends = np.arange(rows.shape[1]) >= at[-1]
+            crowded = size > long_list
+            if crowded.any():
+                yield entries(rows[:, crowded])
+                if crowded[-1]:
+                    long_key = rows[0, -1]
+            if not crowded[-1]:
+                held = rows[:, ends]
+            whole = ~crowded & ~ends & (size > 1)
+            if whole.any():
+                yield from pairs(rows[:, whole])
+        if held is not None and held.shape[1] > 1:
+            yield from pairs(held)
+
+    return lists.sortWithinPartitions("key", "cls").mapInArrow(run, "a bigint, b bigint, one int, more int")
+
+
 def long_list_pairs(entries: DataFrame, terms: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """``a, b`` of all pairs within a list that can meet the threshold, from ``entries(key, cls)`` and ``terms(cls, terms)``.
 
@@ -183,11 +284,12 @@ def long_list_pairs(entries: DataFrame, terms: DataFrame, threshold: tuple[int,
     enough; the order puts terms first that few members of the list have.
     """
     up, down = threshold
-    spread = entries.join(terms, "cls").select("key", "cls", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    spread = entries.join(terms.hint("merge"), "cls").select("key", "cls", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     common = spread.groupBy("key", "term").agg(F.count("*").alias("df"))
-    ranked = spread.join(common, ["key", "term"]).withColumn("at", F.row_number().over(Window.partitionBy("key", "cls").orderBy("df", "term")))
-    first = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * up / down) + 1).select("key", "term", "cls")
-    both = first.withColumnRenamed("cls", "a").join(first.withColumnRenamed("cls", "b"), ["key", "term"]).filter("a < b")
+    ranked = spread.join(common.hint("merge"), ["key", "term"]).withColumn("at", F.row_number().over(Window.partitionBy("key", "cls").orderBy("df", "term")))
+    first = ranked.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * up / down) + 1).select("key", "term", "cls", "n")
+    both = first.withColumnsRenamed({"cls": "a", "n": "a_n"}).join(first.withColumnsRenamed({"cls": "b", "n": "b_n"}).hint("merge"), ["key", "term"]).filter("a < b")
+    both = both.filter(F.least("a_n", "b_n") * down >= F.greatest("a_n", "b_n") * up)
     return both.select("a", "b").distinct()
 
 
@@ -195,30 +297,21 @@ def class_links(table: DataFrame, posted: DataFrame, threshold: tuple[int, int],
     """``a, b, shared, either`` for linked classes, a < b."""
     up, down = threshold
     terms = table.select("cls", "terms").dropDuplicates(["cls"])
-    tails = [c for c in posted.columns if c.startswith("t")]
-    # copies that different tasks posted are dropped after the shuffle by key, before lists are joined
-    # (the three uses below ask for the same columns and filters, so that one shuffle serves them all)
-    there = " AND ".join(f"{c} IS NOT NULL" for c in ("key", "cls", *tails))
-    lists = posted.filter(there).repartition("key").dropDuplicates(["key", "cls"])
-    sized = lists.withColumn("size", F.count("*").over(Window.partitionBy("key")))
-    left = sized.filter(F.col("size") <= long_list).select("key", F.col("cls").alias("a"), *[F.col(t).alias(f"a_{t}") for t in tails])
-    right = lists.select("key", F.col("cls").alias("b"), *[F.col(t).alias(f"b_{t}") for t in tails])
-    merged = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("a_t0").bitwiseAND(F.col("b_t0")).bitwiseAND(F.lit(1)) == 0))
-    more = F.lit(0)
-    if matches > 1:
-        more = sum((F.when(F.shiftright(f"a_{x}", 1) == F.shiftright(f"b_{y}", 1), 1).otherwise(0) for x in tails for y in tails), F.lit(0))
-    found = merged.select("a", "b", F.lit(1).alias("one"), more.alias("more"))
-    crowded = long_list_pairs(sized.filter((F.col("size") > long_list) & (F.col("t0") >= 0)).select("key", "cls"), terms, threshold)
-    found = found.unionByName(crowded.select("a", "b", F.lit(matches).alias("one"), F.lit(0).alias("more")))
-    counted = found.repartition("a").groupBy("a", "b").agg((F.sum("one") + F.max("more")).alias("n_matches"))
+    lists = posted.filter(" AND ".join(f"{c} IS NOT NULL" for c in posted.columns)).repartition("key")
+    # both uses below ask for the same columns and filter by the sum only, so that lists are met and shuffled once
+    counted = list_pairs(lists, matches, long_list).repartition("a").groupBy("a", "b").agg((F.sum("one") + F.max("more")).alias("n_matches"))
     retained = counted.filter(F.col("n_matches") >= matches).select("a", "b")
+    # the shuffle lets Spark see that there are none, as is usual, and leave the rest out
+    crowded = long_list_pairs(counted.filter(F.col("n_matches") < 0).select(F.col("b").alias("key"), F.col("a").alias("cls")).repartition("cls"), terms, threshold)
     sketches = table.select("cls", "n", *SKETCH).dropDuplicates(["cls"])
-    side = lambda name: sketches.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *SKETCH)])
+    # sketches and terms grow with the records, and unpacked they are many times what was shuffled: never broadcast
+    side = lambda name: sketches.select(F.col("cls").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", *SKETCH)]).hint("merge")
+    full = lambda name: terms.select(F.col("cls").alias(name), F.col("terms").alias(f"t{name}")).hint("merge")
+    agreeing = sum((_agreeing(f"a_{c}", f"b_{c}") for c in SKETCH), F.lit(0))
     both = retained.join(side("a"), "a").join(side("b"), "b")
     both = both.filter(F.least("a_n", "b_n") * down >= F.greatest("a_n", "b_n") * up)
-    agreeing = sum((_agreeing(f"a_{c}", f"b_{c}") for c in SKETCH), F.lit(0))
-    near = both.filter(agreeing >= sketch_matches).select("a", "b")
-    exact = near.join(terms.withColumnsRenamed({"cls": "a", "terms": "ta"}), "a").join(terms.withColumnsRenamed({"cls": "b", "terms": "tb"}), "b")
+    near = both.filter(agreeing >= sketch_matches).select("a", "b").unionByName(crowded).repartition("a").distinct()
+    exact = near.join(full("a"), "a").join(full("b"), "b")
     exact = exact.withColumn("shared", F.size(F.array_intersect("ta", "tb"))).withColumn("either", F.size("ta") + F.size("tb") - F.col("shared"))
     return exact.filter(F.col("shared") * down >= F.col("either") * up).select("a", "b", "shared", "either")
 
@@ -244,10 +337,10 @@ def near_duplicate_classes(
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     """``kind, id_a, id_b`` of all linked records: members of linked classes, and of the same class."""
     m = lambda c, i: members.select(F.col("cls").alias(c), F.col("kind").alias(f"kind_{c}"), F.col("id").alias(i))
-    across = links.select("a", "b").join(m("a", "x"), "a").join(m("b", "y"), "b").filter("kind_a = kind_b").select(F.col("kind_a").alias("kind"), "x", "y")
+    across = links.select("a", "b").join(m("a", "x").hint("merge"), "a").join(m("b", "y").hint("merge"), "b").filter("kind_a = kind_b").select(F.col("kind_a").alias("kind"), "x", "y")
     crowded = members.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").select("cls")
-    same = members.join(crowded, "cls", "left_semi")
-    within = same.select("cls", "kind", F.col("id").alias("x")).join(same.select("cls", F.col("id").alias("y")), "cls").filter("x < y").select("kind", "x", "y")
+    same = members.join(crowded.hint("merge"), "cls", "left_semi")
+    within = same.select("cls", "kind", F.col("id").alias("x")).join(same.select("cls", F.col("id").alias("y")).hint("merge"), "cls").filter("x < y").select("kind", "x", "y")
     return across.unionByName(within).select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
@@ -281,8 +374,8 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     """``kind, id, group_class, n_links``: one row per record; records without links are groups of their own."""
     sizes = members.groupBy("cls").agg(F.count("*").alias("n"))
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far = ends.join(sizes.withColumnsRenamed({"cls": "b", "n": "m"}), "b").groupBy("a").agg(F.sum("m").alias("m")).withColumnRenamed("a", "cls")
+    far = ends.join(sizes.withColumnsRenamed({"cls": "b", "n": "m"}).hint("merge"), "b").groupBy("a").agg(F.sum("m").alias("m")).withColumnRenamed("a", "cls")
     roots = components(links.select("a", "b")).withColumnRenamed("node", "cls")
-    per = sizes.join(far, "cls", "left").join(roots, "cls", "left")
+    per = sizes.join(far.hint("merge"), "cls", "left").join(roots.hint("merge"), "cls", "left")
     per = per.select("cls", F.coalesce("root", "cls").alias("group_class"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"))
-    return members.join(per, "cls").select("kind", "id", "group_class", "n_links")
+    return members.join(per.hint("merge"), "cls").select("kind", "id", "group_class", "n_links")

@@ -81,6 +81,48 @@ def test_collisions_are_counted(spark):
     assert {(r.a, r.b) for r in nd.class_links(terms, posted, (7, 10), 0, 3).collect()} == {(0, 1)}
 
 
+def lists_of(seed):
+    """Lists of all sizes, posted by several tasks."""
+    rnd = random.Random(seed)
+    rows = [(key, cls, (rnd.randrange(3) << 1) | (rnd.random() < 0.3)) for key in range(40) for cls in rnd.sample(range(1000), rnd.choice([1, 2, 3, 9]))]
+    return rows + [(100, cls, 0) for cls in range(12)] + [(101, cls, 0) for cls in range(35)] + [(102, 5, 0), (102, 6, 0)]
+
+
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_lists_over_batches(spark, batch):
+    """Lists that end in another batch, copies across batches, and lists that turn out long while they are read."""
+    rows = lists_of(batch)
+    posted = spark.createDataFrame(rows + rows[::3], "key bigint, cls bigint, t0 bigint").repartition(3, "key")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(tuple(r) for r in nd.list_pairs(posted, 2, 11).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(cls, key, nd.LONG, 0) for key, cls, _ in rows if key in (100, 101)]
+    for key, a, x in rows:
+        want += [(a, b, 1, int(x >> 1 == y >> 1)) for k, b, y in rows if k == key and a < b and key not in (100, 101) and not x & y & 1]
+    assert got == sorted(want) and len(want) > 300
+
+
+def test_nothing_that_grows_is_broadcast(spark):
+    terms = spark.createDataFrame([(c, 12, 0, 0, 0, 0, [f"x{i}" for i in range(12)]) for c in range(6)], "cls bigint, n int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, terms array<string>")
+    posted = spark.createDataFrame([(1, 0, 20), (1, 1, 20)], "key bigint, cls bigint, t0 bigint")
+    links = nd.class_links(terms, posted, (7, 10), 0, 2)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") > 5
+    members = spark.createDataFrame([(0, 1, 7)], "kind int, id bigint, cls bigint")
+    assert "BroadcastHashJoin" not in nd.expand(members, links)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_of_a_block_are_those_of_each_text():
+    import pyarrow as pa
+
+    texts = ["A.\nb\n\n•\n(a)\nC", None, "", "c\nC!\nd\nb", "•"]
+    own, bounds, code, words, hashes, lengths = nd.Signer(72, 5, 2).terms(pa.array(texts, pa.string()), 1)
+    got = {int(r): sorted(words[int(c)].as_py() for c in code[bounds[i] : bounds[i + 1]]) for i, r in enumerate(own)}
+    assert got == {0: ["a", "b", "c"], 3: ["b", "c", "d"]} and lengths.tolist() == [1] * len(words) and len(hashes) == len(words)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "kind int, id bigint, text string")
     members, links = nd.near_duplicate_classes(df)
