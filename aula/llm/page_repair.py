@@ -34,7 +34,9 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -166,39 +168,47 @@ def layout(tokens: list[str]) -> dict[int, str]:
     return out
 
 
-def readings(tokens: list[str], labels: dict[int, str], confidences) -> Iterator[tuple[int, str]]:
-    """(position, reading) of all words to look up: single, ``stem|rest`` of broken words, ``a+b`` of torn ones."""
-    sure = confidences if confidences is not None and len(confidences) == len(tokens) else None
+def readings(tokens: list[str], labels: dict[int, str], low: set[int]) -> Iterator[tuple[int, str]]:
+    """(position, reading) of all words to look up: single, ``stem|rest`` of broken words, ``a+b`` of torn ones.
+
+    ``low``: positions of little confidence.
+    """
     rest = -1
-    for i, t in enumerate(tokens):
-        if i in labels or not t:
+    for i, (t, (w, word, stem)) in enumerate(zip(tokens, map(_facts, tokens))):
+        if not t or i in labels:
             continue
-        nxt = tokens[i + 1] if i + 1 < len(tokens) and i + 1 not in labels else ""
-        stem = stem_of(t)
-        if stem and i != rest and nxt[:1].isalnum() and normal(nxt) not in SUSPENDED:
-            left, right = _EDGE.sub("", stem.lower()), normal(nxt)
-            if left and right and len(left) + len(right) <= MOST_LENGTH:
+        if stem is not None and i != rest:
+            nxt = tokens[i + 1] if i + 1 < len(tokens) and i + 1 not in labels else ""
+            right = normal(nxt)
+            if stem and right and nxt[0].isalnum() and right not in SUSPENDED and len(stem) + len(right) <= MOST_LENGTH:
                 rest = i + 1
-                yield i, left + JOINED + right
+                yield i, stem + JOINED + right
                 continue
         if i == rest:
             continue
-        w = normal(t)
-        if _eligible(w):
+        if word:
             yield i, w
-        k, glued = i, w
-        while sure is not None and _torn(tokens, k, labels, sure) and len(glued) < MOST_LENGTH:
-            k += 1
-            glued += GLUED + normal(tokens[k])
-            if _eligible(glued.replace(GLUED, "")):
-                yield i, glued
+        if low and (i in low or i + 1 in low):
+            k, glued = i, w
+            while len(glued) < MOST_LENGTH and _torn(tokens, k, labels, low):
+                k += 1
+                glued += GLUED + normal(tokens[k])
+                if _eligible(glued.replace(GLUED, "")):
+                    yield i, glued
 
 
-def _torn(tokens: list[str], i: int, labels: dict[int, str], sure) -> bool:
+def _torn(tokens: list[str], i: int, labels: dict[int, str], low: set[int]) -> bool:
     """Whether token i may go on in the next one."""
-    if i + 1 >= len(tokens) or i + 1 in labels:
+    if i + 1 >= len(tokens) or i + 1 in labels or not (i in low or i + 1 in low):
         return False
-    return tokens[i + 1][:1].islower() and tokens[i][-1:].isalpha() and any(x is not None and 0 <= x < GLUE_CONFIDENCE for x in sure[i : i + 2])
+    return tokens[i + 1][:1].islower() and tokens[i][-1:].isalpha()
+
+
+@lru_cache(1 << 16)
+def _facts(token: str) -> tuple[str, bool, str | None]:
+    """The normal form, whether it can be a word, and what can be the first half of one."""
+    w, stem = normal(token), stem_of(token)
+    return w, _eligible(w), _EDGE.sub("", stem.lower()) if stem else None
 
 
 @lru_cache(1 << 16)
@@ -283,7 +293,12 @@ def decode(tokens: list[str], labels: dict[int, str], found: dict[int, list[tupl
         return 0.01 * (10 - min(10.0, math.log1p(evidence))) - (0.1 if word in here else 0.0)
 
     for i, t in enumerate(tokens):
-        options = dict(found.get(i, ()))
+        if i not in found:  # nothing to choose from
+            cost, end = best[begin[i]], begin[i + 1]
+            if cost < best.get(end, float("inf")):
+                best[end], back[end] = cost, (begin[i], "keep", i, t)
+            continue
+        options = dict(found[i])
         single = next((s for s in options if JOINED not in s and GLUED not in s), None)
         joined = next((s for s in options if JOINED in s), None)
         edge(begin[i], begin[i + 1], 3.0 if single is not None else 4.0 if joined else 0.0, ("keep", i, t))
@@ -360,9 +375,9 @@ def paragraphs(words: list[str]) -> str:
         if _ends_sentence(w):
             sentences.append([])
     sentences = [s for s in sentences if s]
-    if not sentences:
-        return ""
-    bags = [{normal(w) for w in s if len(normal(w)) > 4} for s in sentences]
+    if len(sentences) < 2:
+        return " ".join(words)
+    bags = [{w for w in map(normal, s) if len(w) > 4} for s in sentences]
     # what breaking in front of sentence k costs: more where it shares words with the one before
     shared = [0.0] + [len(a & b) / (1 + min(len(a), len(b))) for a, b in itertools.pairwise(bags)]
     sizes = list(itertools.accumulate((len(s) for s in sentences), initial=0))
@@ -383,21 +398,56 @@ def paragraphs(words: list[str]) -> str:
     return "\n\n".join(" ".join(w for s in sentences[i:j] for w in s) for i, j in reversed(cuts))
 
 
+def _objects(column: pa.Array) -> list:
+    """Python objects of a column; much faster than ``to_pylist`` where NumPy can make them."""
+    if pa.types.is_string(column.type) or column.null_count == 0 and pa.types.is_primitive(column.type):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def _texts(b: pa.RecordBatch, i: int) -> list:
-    return b.column(i).to_pylist()
+    return _objects(b.column(i))
+
+
+def _low(confidences: pa.ListArray) -> tuple[list[int], np.ndarray]:
+    """Where each row's confidences begin (one more at the end), and whether they are known and little. A NULL row has none."""
+    first = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(confidences), 0).to_numpy())])
+    values = pc.list_flatten(confidences).to_numpy(zero_copy_only=False).astype(np.float64)
+    return first.tolist(), (values >= 0) & (values < GLUE_CONFIDENCE)
+
+
+def _options(found: pa.ListArray) -> Iterator[dict[int, list[tuple[str, list[tuple]]]]]:
+    """``found`` of :func:`decode` for every row, without a Python object for each struct."""
+    given = pc.list_flatten(found)
+    lines, sources, words = (given.field(i) for i in range(3))
+    inner = pc.list_flatten(words)
+    tuples = list(zip(*(_objects(inner.field(i)) for i in range(5))))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy()).tolist()
+    lines, sources = _objects(lines), _objects(sources)
+    at = start = 0
+    for n in pc.fill_null(pc.list_value_length(found), 0).to_pylist():
+        options: dict[int, list] = {}
+        for k in range(at, at + n):
+            options.setdefault(lines[k], []).append((sources[k], tuples[start : ends[k]]))
+            start = ends[k]
+        at += n
+        yield options
 
 
 def _spread_readings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, lines, sources, own = [], [], [], b.column(0)
-        for k, (text, sure) in enumerate(zip(_texts(b, 1), _texts(b, 2))):
+        first, below = _low(b.column(2))
+        for k, text in enumerate(_texts(b, 1)):
             if not text:
                 continue
             tokens = text.split("\n")
-            for i, source in readings(tokens, layout(tokens), sure):
-                ids.append(k)
-                lines.append(i)
-                sources.append(source)
+            low = set(np.flatnonzero(below[first[k] : first[k + 1]]).tolist()) if first[k + 1] - first[k] == len(tokens) else set()
+            if here := list(readings(tokens, layout(tokens), low)):
+                own_lines, own_sources = zip(*here)
+                ids += [k] * len(here)
+                lines += own_lines
+                sources += own_sources
         yield pa.RecordBatch.from_arrays([own.take(pa.array(ids, pa.int64())), pa.array(lines, pa.int32()), pa.array(sources, pa.string())], ["frame_id", "line", "source"])
 
 
@@ -406,7 +456,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         count: Counter[str] = Counter()
         for column in b.columns:
-            for text in column.to_pylist():
+            for text in _objects(column):
                 if text:
                     count.update(text.lower().split())
         words: Counter[str] = Counter()
@@ -551,15 +601,12 @@ def repair(frames: DataFrame, plain: list[DataFrame]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lines, texts = [], []
-            for text, given in zip(_texts(b, 1), _texts(b, 2)):
+            for text, options in zip(_texts(b, 1), _options(b.column(2))):
                 if not text:
                     lines.append([])
                     texts.append(text)
                     continue
                 tokens = text.split("\n")
-                options: dict[int, list] = {}
-                for x in given or ():
-                    options.setdefault(x["line"], []).append((x["source"], [tuple(w.values()) for w in x["words"] or ()]))
                 noisy, printed = decode(tokens, layout(tokens), options)
                 lines.append([{"line_no": i + 1, "noise_kind": kind} for i, kind in noisy])
                 texts.append(paragraphs(printed))

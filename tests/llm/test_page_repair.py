@@ -1,5 +1,6 @@
 import difflib
 
+import pyarrow as pa
 import pytest
 from conftest import MID, SMALL
 
@@ -48,6 +49,29 @@ def test_long_words_torn_words_and_run_together_words(spark):
     assert {x.line_no for x in got.lines} == {1, 5, 6, 7}
 
 
+def test_columns_are_taken_apart_as_rows():
+    """Confidences and choices of all rows of a batch at once: NULL rows, NULL and missing values, and slices."""
+    sure = pa.array([[0.2], None, [], [0.9, None, -1.0, 0.0, 0.6, 0.59], [0.1, float("nan")]], pa.list_(pa.float64()))
+    first, low = pr._low(sure.slice(1))
+    assert first == [0, 0, 0, 6, 8] and low.tolist() == [False, False, False, True, False, True, True, False]
+    word = pa.struct([("at", pa.int32()), ("to", pa.int32()), ("word", pa.string()), ("cost", pa.float64()), ("evidence", pa.float64())])
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("source", pa.string()), ("words", pa.list_(word))]))
+    one = lambda w: dict(zip(("at", "to", "word", "cost", "evidence"), w))
+    a, b = (0, 3, "één", 1.0, 2.0), (1, 4, "two", 0.5, 0.0)
+    rows = [[{"line": 9, "source": "x", "words": [one(b)]}], None, [{"line": 2, "source": "p", "words": [one(a), one(b)]}, {"line": 2, "source": "p|q", "words": None}], [], [{"line": 0, "source": "r", "words": [one(b)]}]]
+    got = list(pr._options(pa.array(rows, kind).slice(1)))
+    assert got == [{}, {2: [("p", [a, b]), ("p|q", [])]}, {}, {0: [("r", [b])]}]
+    assert list(pr._options(pa.array([None], kind))) == [{}] and pr._low(pa.array([None], sure.type))[0] == [0, 0]
+
+
+def test_readings_of_torn_and_broken_words():
+    of = lambda text, low=(): list(pr.readings(text.split(), {}, set(low)))
+    assert of("mar- ket lens") == [(0, "mar|ket"), (2, "lens")]
+    assert of("pre- and post") == [(2, "post")]
+    assert of("magne tom eter", [1]) == [(0, "magne"), (0, "magne+tom"), (0, "magne+tom+eter"), (1, "tom+eter"), (2, "eter")]
+    assert of("magne tom eter") == [(0, "magne"), (2, "eter")]
+
+
 def test_paragraphs_keep_all_words():
     words = (BODY.split() * 30) + ["tail"]
     out = pr.paragraphs(words)
